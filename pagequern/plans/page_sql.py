@@ -1,0 +1,33 @@
+"""Page queries that are built-in SQL expressions throughout."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagequern.sources import read_table
+
+
+def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, domain, words and links of each page."""
+    html = F.coalesce("html", F.lit(""))
+    plain = F.regexp_replace(html, "<[^>]+>", " ")
+    return read_table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.trim(F.regexp_extract(html, "<title[^>]*>(.*?)</title>", 1)).alias("title"),
+        F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), r"^(www\.)+", "").alias("domain"),
+        F.regexp_count(plain, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("word_count"),
+        F.regexp_count(html, F.lit(r"<a[ >]")).cast("long").alias("n_links"),
+    )
+
+
+QUERIES = {"page_summary": page_summary}
+ORACLE_SQL = {
+    "page_summary": r"""
+SELECT page_id,
+  trim(regexp_extract(coalesce(html, ''), '<title[^>]*>(.*?)</title>', 1)) AS title,
+  regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^(www\.)+', '') AS domain,
+  len(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[^\x20\x09-\x0D]+'))::BIGINT AS word_count,
+  len(regexp_extract_all(coalesce(html, ''), '<a[ >]'))::BIGINT AS n_links
+FROM pages"""
+}
