@@ -10,6 +10,56 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY norm)"""
 
+SOURCE_MIX = r"""
+WITH sized AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS skey, md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS spot,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+  FROM documents),
+whole AS (
+  SELECT w.*, ((2 * words + block) // (2 * block))::BIGINT AS blocks FROM (
+    SELECT coalesce(sum(size), 0)::BIGINT AS words,
+      greatest(1, least(2048, coalesce(sum(size), 0)::BIGINT // 65536)) AS block,
+      greatest(1, (count(*) + coalesce(sum(size), 0) + 16777215)::BIGINT // 16777216) AS shards
+    FROM sized) w),
+src AS (
+  SELECT skey, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY skey) AS place,
+    (row_number() OVER (ORDER BY skey) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY skey),
+ratios AS (SELECT *, 3 * source_size AS cap, (3 * source_size)::DOUBLE / weight AS ratio FROM src),
+levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))::DOUBLE
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS level
+  FROM ratios WINDOW b AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT arg_min(level, place) AS level FROM levels
+  WHERE level <= ratio AND ratio = (SELECT min(ratio) FROM levels WHERE level <= ratio)),
+wanted AS (SELECT skey, place, source_size, least(cap::DOUBLE, level.level * weight) AS target FROM ratios, level),
+-- every quotient that can win, the highest of all kept
+dealt AS (
+  SELECT skey, count(*) AS of_source FROM (
+    SELECT skey, row_number() OVER (ORDER BY target / (2 * a + 1) DESC, place) AS rank FROM (
+      SELECT wanted.*, unnest(range(0, (target / block)::BIGINT + 64)) AS a FROM wanted, whole WHERE target > 0)), whole
+  WHERE rank <= blocks GROUP BY skey),
+cells AS (
+  SELECT skey, ('0x' || substr(spot, 1, 8))::BIGINT % shards AS shard, sum(size)::BIGINT AS words
+  FROM sized, whole GROUP BY ALL),
+filled AS (
+  SELECT skey, shard, count(*) AS quota FROM (
+    SELECT skey, shard, of_source, row_number() OVER (PARTITION BY skey ORDER BY words / (2 * a + 1) DESC, shard) AS rank FROM (
+      SELECT cells.*, of_source, unnest(range(0, of_source)) AS a FROM cells JOIN dealt USING (skey) WHERE words > 0))
+  WHERE rank <= of_source GROUP BY ALL),
+takes AS (
+  SELECT skey, shard, cells.words, least(coalesce(quota, 0) * block, 3 * cells.words) AS take
+  FROM cells LEFT JOIN filled USING (skey, shard), whole),
+laid AS (
+  SELECT s.*, words, take, coalesce(sum(size) OVER (PARTITION BY s.skey, s.shard ORDER BY spot, doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM (SELECT sized.*, ('0x' || substr(spot, 1, 8))::BIGINT % shards AS shard FROM sized, whole) s JOIN takes USING (skey, shard))
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN words > 0 THEN take // words ELSE 0 END * size
+   + least(greatest(take - CASE WHEN words > 0 THEN take // words ELSE 0 END * words - start, 0), size))::BIGINT AS taken
+FROM laid JOIN wanted USING (skey)"""
+
 ORACLE_SQL = {
+    "op5_source_mix": SOURCE_MIX,
     "op8_exact_dedup": EXACT_DEDUP,
 }
