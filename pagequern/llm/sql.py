@@ -10,6 +10,40 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY norm)"""
 
+SECRET_SCAN = r"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
+hits AS (
+  SELECT row, doc_id, source, 0 AS kind, regexp_extract_all(text, '(?s)(.*?)((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 1) AS gaps,
+    regexp_extract_all(text, '(?s)(.*?)((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 2) AS found,
+    regexp_extract_all(text, '(?s)(.*?)((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+))', 3) AS vals FROM docs
+  UNION ALL SELECT row, doc_id, source, 1, regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 1), regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 2), regexp_extract_all(text, '(?s)(.*?)(AKIA[A-Z0-9]+)', 2) FROM docs
+  UNION ALL SELECT row, doc_id, source, 2, regexp_extract_all(text, '(?s)(.*?)([0-9a-f]+)', 1), regexp_extract_all(text, '(?s)(.*?)([0-9a-f]+)', 2), regexp_extract_all(text, '(?s)(.*?)([0-9a-f]+)', 2) FROM docs),
+parts AS (
+  SELECT row, doc_id, source, kind, unnest(range(1, len(found) + 1)) AS i, unnest(gaps) AS gap, unnest(found) AS found, unnest(vals) AS val FROM hits),
+placed AS (
+  SELECT *, sum(length(gap) + length(found)) OVER (PARTITION BY row, kind ORDER BY i) AS stop FROM parts),
+base AS (
+  SELECT row, doc_id, source, kind, (stop - length(found))::BIGINT AS start, stop::BIGINT AS stop, val, (stop - length(val))::BIGINT AS val_start
+  FROM placed WHERE CASE kind WHEN 0 THEN length(val) >= 12 WHEN 1 THEN length(found) >= 18 ELSE length(found) >= 16 END),
+owners AS (
+  SELECT val, CASE WHEN count(DISTINCT coalesce('0' || source, '1')) >= 2 OR count(DISTINCT (coalesce('0' || source, '1'), coalesce('0' || doc_id, '1'))) >= 5 THEN 4
+    WHEN len(list_distinct(string_split(val, ''))) >= 8 THEN 3 END AS verdict
+  FROM base GROUP BY val),
+added AS (
+  SELECT DISTINCT row, doc_id, verdict AS kind, val_start AS start, stop FROM base JOIN owners USING (val) WHERE verdict IS NOT NULL),
+spans AS (
+  SELECT row, kind, start, stop FROM base UNION ALL SELECT row, kind, start, stop FROM added),
+lists AS (
+  SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    count(*) FILTER (kind = 3) AS n_live, count(*) FILTER (kind = 4) AS n_copied,
+    string_agg(['assign', 'access', 'hex', 'live', 'copied'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base,
+    string_agg(['assign', 'access', 'hex', 'live', 'copied'][kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) AS spans
+  FROM spans GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM docs LEFT JOIN lists USING (row)"""
+
 SOURCE_MIX = r"""
 WITH sized AS (
   SELECT doc_id, coalesce('0' || source, '1') AS skey, md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS spot,
@@ -60,6 +94,7 @@ SELECT doc_id, size, source_size, target,
 FROM laid JOIN wanted USING (skey)"""
 
 ORACLE_SQL = {
+    "op2_secret_scan": SECRET_SCAN,
     "op5_source_mix": SOURCE_MIX,
     "op8_exact_dedup": EXACT_DEDUP,
 }
