@@ -93,7 +93,24 @@ SELECT doc_id, size, source_size, target,
    + least(greatest(take - CASE WHEN words > 0 THEN take // words ELSE 0 END * words - start, 0), size))::BIGINT AS taken
 FROM laid JOIN wanted USING (skey)"""
 
+JACCARD_JOIN = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3])) END AS s FROM docs),
+each AS (SELECT row, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.row AS a, b.row AS b FROM each a JOIN each b ON a.x = b.x AND a.row <> b.row
+  GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT row AS a, row AS b FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, (SELECT min(o.doc_id) FROM reach JOIN sets o ON o.row = reach.b WHERE reach.a = sets.row) AS component_id
+FROM sets"""
+
 ORACLE_SQL = {
+    "op9_jaccard_join": JACCARD_JOIN,
     "op2_secret_scan": SECRET_SCAN,
     "op5_source_mix": SOURCE_MIX,
     "op8_exact_dedup": EXACT_DEDUP,
