@@ -4,9 +4,9 @@
    then on, so copies never meet each other again.
 2. Candidates. In a size band two linked sets differ in D shingles at most. Hash space is cut into
    more ranges than D, so linked sets agree on a whole range; each range's content is hashed to a
-   key. Ranges can be empty in both sets: there are Z spare ranges for that, and the rare sets with
-   more than Z empty ranges also give keys for their prefix, the smallest hashes of which linked
-   sets must share one. Sets that share a key get into one cluster; no pair is made.
+   key. A range with one shingle or none gives no key, as any passage that texts share would match
+   there: Z spare ranges make up for that, and the rare sets with more than Z such ranges also give
+   keys for their prefix, the smallest hashes, of which linked sets must share one. Sets that share a key get into one cluster; no pair is made.
 3. A cluster sorted by set size is cut into blocks of bounded size, and two blocks make a tile if
    their sizes can link at all.
 4. In a tile, sets carry hashed bitmaps. Differing bits bound the overlap from above; only pairs
@@ -34,7 +34,7 @@ BLOCK_SHINGLES = 1 << 21
 #: A list of candidates of up to so many rows (24 bytes each) is broadcast to pick their texts; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1 << 20
 #: Lower ends of size bands grow by this factor.
-_GROWTH = 1.6
+_GROWTH = 1.3
 #: Bits of all bitmaps of a tile together, about.
 _MAP_BITS = 1 << 29
 #: A set counts as so many shingles at least, which bounds the sets of a block.
@@ -61,7 +61,7 @@ class Bands:
         return (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
     def spare(self, band: int) -> int:
-        return 2 + ceil(0.05 * self.differ(band))
+        return 3 + ceil(0.15 * self.differ(band))
 
     def edges(self, band: int) -> np.ndarray:
         """Lower ends of the ranges of hash space."""
@@ -75,9 +75,12 @@ class Bands:
         if not self.differ(band):  # then only equal sets are linked
             return np.zeros(0, np.uint64)
         at = np.searchsorted(found, self.edges(band))
-        full = np.flatnonzero(np.diff(at, append=len(found)))
+        count = np.diff(at, append=len(found))
+        full = np.flatnonzero(count > 1)
         name = mix64(np.uint64(band << 32) + full.astype(np.uint64))
-        keys = mix64(np.add.reduceat(mix64(found + np.uint64(1)), at[full]) ^ name)
+        sums = np.zeros(len(found) + 1, np.uint64)
+        np.cumsum(mix64(found + np.uint64(1)), out=sums[1:])
+        keys = mix64((sums[at[full] + count[full]] - sums[at[full]]) ^ name)
         if len(at) - len(full) > self.spare(band):
             prefix = found[: len(found) - -(-len(found) * self.percent // 100) + 1]
             keys = np.concatenate([keys, mix64(prefix ^ mix64(np.full(1, (band << 1) + 1, np.uint64)))])
@@ -250,3 +253,26 @@ def cluster(
     some = some.select("id", "n", "component_id", "text_key", (F.col("row") == F.col("best_row")).alias("kept"))
     none = found.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "text_key", F.lit(True).alias("kept"))
     return some.unionByName(none).withColumnsRenamed({"id": "doc_id", "n": "n_shingles"})
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that cluster() keeps, one of each component, with all their columns.
+
+    Rows that go are looked up by id and text hash, so that AQE can broadcast them while they are
+    few. Of rows repeated with id and text one stays.
+    """
+    found = cluster(docs, id_col, text_col, k, percent)
+    went = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("kept").alias("__any"), F.count("*").alias("__n"))
+    went = materialize(went.where("NOT __any OR __n > 1"))
+    marked = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+
+    def same(other: DataFrame):
+        return marked[id_col].eqNullSafe(other["__id"]) & (marked["__text_key"] == other["__key"])
+
+    stay = marked.join(went, same(went), "left_anti")
+    repeated = went.where("__any")
+    if not repeated.isEmpty():
+        empty = F.trim(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == ""
+        twice = marked.join(repeated, same(repeated), "left_semi")
+        stay = stay.unionByName(twice.where(empty)).unionByName(twice.where(~empty).dropDuplicates([id_col, "__text_key"]))
+    return stay.drop("__text_key")
