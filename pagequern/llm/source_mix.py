@@ -27,9 +27,9 @@ SEED = "mix-1"
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
-    """(doc_id, skey, size, spot) of every row, written once. skey sorts by code point, null last."""
+    """(doc_id, text_key, skey, size, spot) of every row, written once. skey sorts by code point, null last."""
     found = only(docs, id_col, text_col, source_col).select(
-        F.col(id_col).alias("doc_id"),
+        F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_key"),
         F.coalesce(F.concat(F.lit("0"), F.col(source_col)), F.lit("1")).alias("skey"),
         F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("spot"),
@@ -78,7 +78,7 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     fineness: int = FINENESS, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED,
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken.
+    """One row per input row: doc_id, size, source_size, target, taken, text_key (xxhash64 of the text).
 
     A null or empty text has size 0 and nothing of it is taken. A null source is a source of its
     own, the last. Rows that repeat an id are documents of their own; repeats that are alike in
@@ -102,4 +102,17 @@ def mix(
     laid = sized.withColumn("start", F.coalesce(F.sum("size").over(stream), F.lit(0))).join(cells, ["skey", "shard"])
     rounds = F.when(F.col("words") > 0, F.floor(F.col("take") / F.col("words"))).otherwise(F.lit(0)).cast("long")
     part = F.least(F.greatest(F.col("take") - rounds * F.col("words") - F.col("start"), F.lit(0)), F.col("size"))
-    return laid.select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"))
+    return laid.select("doc_id", "size", "source_size", "target", (rounds * F.col("size") + part).cast("long").alias("taken"), "text_key")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs that mix() takes words of, with all their columns and size, source_size, target, taken.
+
+    Rows repeated with id and text share what is taken of them evenly. Columns of docs that are
+    named like the four give way to them.
+    """
+    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    plan = plan.agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.floor(F.avg("taken")).alias("taken"))
+    marked = docs.drop("size", "source_size", "target", "taken").withColumn("__text_key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    plan = plan.where("taken > 0")
+    return marked.join(plan, marked[id_col].eqNullSafe(plan["__id"]) & (marked["__text_key"] == plan["__key"])).drop("__id", "__key", "__text_key")

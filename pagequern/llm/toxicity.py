@@ -248,3 +248,8 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """
     found = with_score(only(docs, "doc_id", "text"), learn(docs, labels))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= least).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
+    """The rows of docs that score less than least, with all their columns."""
+    return with_score(docs, learn(docs, labels)).where(F.col("__score") < least).drop("__score")
