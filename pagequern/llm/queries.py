@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequern.llm import decontaminate, exact_dedup, jaccard_join, secret_scan, source_mix, toxicity
+from pagequern.llm import decontaminate, exact_dedup, jaccard_join, secret_scan, source_mix, suffix_dedup, toxicity
 from pagequern.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -22,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -42,6 +46,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_source_mix": op5_source_mix,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
