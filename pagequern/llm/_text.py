@@ -109,3 +109,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield total
         else:
             yield np.zeros(0, np.uint64)
+
+
+def near_copies(texts: pa.Array) -> list[bool]:
+    """Whether a text shares one of eight min-hashes with an earlier one: copies, near ones too, would make their own words look typical."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    turns = mix64(np.arange(1, 9, dtype=np.uint64))[:, None]
+    for _, _, data, offsets in text_chunks(texts):
+        for found in shingle_sets(data, offsets, 5):
+            keys = set(enumerate(mix64(found ^ turns).min(axis=1).tolist())) if len(found) else {(8, 0)}
+            out.append(not keys.isdisjoint(seen))
+            seen |= keys
+    return out

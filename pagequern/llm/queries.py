@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequern.llm import decontaminate, exact_dedup, jaccard_join, secret_scan, source_mix, suffix_dedup, toxicity
+from pagequern.llm import decontaminate, exact_dedup, jaccard_join, quality, secret_scan, source_mix, suffix_dedup, toxicity
 from pagequern.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -30,6 +30,10 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_source_mix": op5_source_mix,
+    "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_jaccard_join": op9_jaccard_join,

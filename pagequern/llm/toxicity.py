@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequern.llm._shared import only
-from pagequern.llm._text import _LOWER, mix64, shingle_sets, text_chunks, words
+from pagequern.llm._text import _LOWER, near_copies, text_chunks, words
 
 #: Labelled rows to learn from, at most, the first by hash of their id, and the longest text among them.
 LEARN_ROWS, LEARN_CHARS = 8_000, 100_000
@@ -181,7 +181,7 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray) -> Model:
 
     Copies and near copies count once. Without both classes the score is the share of toxic rows.
     """
-    first = ~np.array(_repeated(texts), bool)
+    first = ~np.array(near_copies(texts), bool)
     texts, toxic = texts.filter(pa.array(first)), toxic[first]
     if not 4 <= toxic.sum() <= len(toxic) - 4:
         share = float(np.log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5)))
@@ -194,19 +194,6 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray) -> Model:
     return Model(*_dictionaries(texts, toxic), tuple(_logistic(x, toxic.astype(float)).tolist()))
 
 
-def _repeated(texts: pa.Array) -> list[bool]:
-    """Whether a text shares one of eight min-hashes with an earlier one: copies, near ones too, would make their own words look typical."""
-    seen: set[tuple[int, int]] = set()
-    out = []
-    turns = mix64(np.arange(1, 9, dtype=np.uint64))[:, None]
-    for _, _, data, offsets in text_chunks(texts):
-        for found in shingle_sets(data, offsets, 5):
-            keys = set(enumerate(mix64(found ^ turns).min(axis=1).tolist())) if len(found) else {(8, 0)}
-            out.append(not keys.isdisjoint(seen))
-            seen |= keys
-    return out
-
-
 def learn(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS, learn_chars: int = LEARN_CHARS) -> Model:
     """A model from labelled rows whose crc32(doc_id as text) mod 3 is not 1; null labels and texts are left out.
 
