@@ -21,29 +21,37 @@ from pyspark.sql import functions as F
 
 from pagequern.llm._page_blocks import Block, blocks
 from pagequern.llm._shared import only
+from pagequern.llm._text import words
 
 BUCKETS, DIM, HIDDEN = 1 << 12, 16, 20
 #: Training pages, passes, pages of a step, and the seed of all of it.
-PAGES, EPOCHS, STEP, SEED = 900, 10, 30, 5
+PAGES, EPOCHS, STEP, SEED = 1500, 12, 30, 5
 #: Blocks that are labelled at once, padding included, about.
 BATCH_BLOCKS = 1 << 14
 _MEASURES = 5
+_STOPS = np.zeros(256, np.int64)
+_STOPS[list(b".!?,;")] = 1
 
 
-@lru_cache(1 << 16)
-def _bucket(token: str) -> int:
-    return xxhash.xxh32_intdigest(token) % BUCKETS
+@lru_cache(1 << 14)
+def _path_buckets(path: tuple[str, ...]) -> np.ndarray:
+    own = [*path[-40:], *("/" + t for t in path[-3:])] or [""]
+    return np.array([xxhash.xxh32_intdigest(t) % BUCKETS for t in own])
 
 
-def inputs(found: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """For each block: buckets of its path, buckets of its words, measures."""
-    path = [[_bucket(t) for t in b.path[-40:]] + [_bucket("/" + t) for t in b.path[-3:]] or [0] for b in found]
-    text = [[_bucket("w:" + w) for w in b.text.lower().split()] for b in found]
-    n = np.array([len(b.text) for b in found], float)
-    stops = np.array([sum(map(b.text.count, ".!?,;")) for b in found], float)
+def inputs(found: list[Block]) -> tuple:
+    """For all blocks: buckets of their paths and how many each has, the same for their words, and a row of measures each."""
+    path = [_path_buckets(b.path) for b in found]
+    said = [b.text.encode() for b in found]
+    n = np.array([*map(len, said)])
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    data = np.frombuffer(b"".join(said), np.uint8)
+    _, _, hashes, first = words(data, offsets)
+    stops = np.diff(np.concatenate([[0], np.cumsum(_STOPS[data])])[offsets])
     linked = np.array([b.linked for b in found], float)
     place = np.arange(len(found)) / max(len(found), 1)
-    return path, text, np.stack([np.log1p(n) / 5, np.minimum(linked / np.maximum(n, 1), 1), np.minimum(stops, 5) / 5, place, np.ones(len(found))], axis=1)
+    measures = np.stack([np.log1p(n) / 5, np.minimum(linked / np.maximum(n, 1), 1), np.minimum(stops, 5) / 5, place, np.ones(len(found))], axis=1)
+    return np.concatenate(path), np.array([*map(len, path)]), (hashes & np.uint64(BUCKETS - 1)).astype(np.int64), np.diff(first), measures
 
 
 class Labeller:
@@ -61,21 +69,19 @@ class Labeller:
 
     def _embed(self, pages: list) -> tuple[np.ndarray, np.ndarray, list]:
         """(pages, blocks, inputs), the mask, and what went into the means."""
-        longest = max(len(p[0]) for p in pages)
+        longest = max(len(p[4]) for p in pages)
         x, mask, used = np.zeros((len(pages), longest, 2 * DIM + _MEASURES)), np.zeros((len(pages), longest)), []
-        place = np.concatenate([i * longest + np.arange(len(p[0])) for i, p in enumerate(pages)])
+        place = np.concatenate([i * longest + np.arange(len(p[4])) for i, p in enumerate(pages)])
         mask.reshape(-1)[place] = 1
         flat = x.reshape(len(pages) * longest, -1)
-        for which, name, at in ((0, "path", 0), (1, "text", DIM)):
-            lists = [b for p in pages for b in p[which]]
-            size = np.array([len(b) for b in lists])
-            bucket = np.fromiter((v for b in lists for v in b), np.int64, int(size.sum()))
-            owner = np.repeat(np.arange(len(lists)), size)
+        for which, name, at in ((0, "path", 0), (2, "text", DIM)):
+            bucket, size = (np.concatenate([p[w] for p in pages]) for w in (which, which + 1))
+            owner = np.repeat(np.arange(len(size)), size)
             ends = np.concatenate([np.zeros((1, DIM)), np.cumsum(self.w[name][bucket], axis=0)])
             stop = np.cumsum(size)
             flat[place, at : at + DIM] = (ends[stop] - ends[stop - size]) / np.maximum(size, 1)[:, None]
             used.append((name, at, bucket, place[owner], 1 / np.maximum(size, 1)[owner]))
-        flat[place, 2 * DIM :] = np.concatenate([p[2] for p in pages])
+        flat[place, 2 * DIM :] = np.concatenate([p[4] for p in pages])
         return x, mask, used
 
     def _run(self, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
@@ -232,7 +238,7 @@ class Writer:
     def article(self) -> str:
         r, (a, b) = self.r, self.MAIN
         out = [f"<h1>{a}{self.words(2, 12)}{b}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.randint(0, 9)):
+        for _ in range(r.randint(0, 9) if r.random() < 0.85 else r.randint(10, 70)):
             form = r.random()
             if form < 0.55:
                 out.append(f"<p>{a}{self.words(1, 90)}{b}</p>")

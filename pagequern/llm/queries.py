@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequern.llm import decontaminate, exact_dedup, jaccard_join, quality, secret_scan, source_mix, suffix_dedup, toxicity
+from pagequern.llm import decontaminate, exact_dedup, html_blocks, jaccard_join, quality, secret_scan, source_mix, suffix_dedup, toxicity
 from pagequern.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -47,6 +47,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.digest(html_blocks.extract(table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
@@ -56,4 +60,5 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_html_blocks": op10_html_blocks,
 }
