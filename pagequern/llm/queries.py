@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequern.llm import decontaminate, exact_dedup, html_blocks, jaccard_join, quality, secret_scan, source_mix, suffix_dedup, toxicity
+from pagequern.llm import decontaminate, exact_dedup, html_blocks, jaccard_join, quality, secret_scan, source_mix, suffix_dedup, toxicity, warc_fixity
 from pagequern.llm.sql import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -22,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_fixity.drill(table(spark, sf_dir, "pages"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -54,6 +58,7 @@ def op10_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_secret_scan": op2_secret_scan,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_source_mix": op5_source_mix,
     "op6_quality": op6_quality,

@@ -10,6 +10,23 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
   doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY norm)"""
 
+WARC_FIXITY = r"""
+WITH named AS (
+  SELECT page_id, coalesce(page_id::VARCHAR, '') AS id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+    md5(coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')) AS m, md5(coalesce(page_id::VARCHAR, '')) AS spot FROM pages),
+recs AS (
+  SELECT page_id, spot, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: resource',
+    'WARC-Record-ID: <urn:uuid:' || concat_ws('-', substr(m, 1, 8), substr(m, 9, 4), substr(m, 13, 4), substr(m, 17, 4), substr(m, 21, 12)) || '>',
+    'WARC-Target-URI: ' || url, 'WARC-Date: 2024-01-01T00:00:00Z', 'Content-Type: text/html; charset=utf-8',
+    'Content-Length: ' || strlen(html), '', html, '', '') AS rec FROM named),
+hashed AS (
+  SELECT page_id, spot, strlen(rec)::BIGINT AS n, sha256(rec) AS sha256,
+    sha256(CASE WHEN ('0x' || substr(spot, 9, 8))::BIGINT % 97 = 0 THEN replace(rec, 'e', 'E') ELSE rec END) AS replica_sha256,
+    ('0x' || substr(spot, 1, 8))::BIGINT % (SELECT greatest(1, (sum(strlen(rec)) + 67108863) // 67108864) FROM recs)::BIGINT AS shard FROM recs)
+SELECT page_id, shard, (sum(n) OVER w - n)::BIGINT AS "start", (sum(n) OVER w)::BIGINT AS "end", sha256, replica_sha256,
+  sha256 <> replica_sha256 AS damaged
+FROM hashed WINDOW w AS (PARTITION BY shard ORDER BY spot, sha256 ROWS UNBOUNDED PRECEDING)"""
+
 SECRET_SCAN = r"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents),
 hits AS (
@@ -112,6 +129,7 @@ FROM sets"""
 ORACLE_SQL = {
     "op9_jaccard_join": JACCARD_JOIN,
     "op2_secret_scan": SECRET_SCAN,
+    "op3_warc_fixity": WARC_FIXITY,
     "op5_source_mix": SOURCE_MIX,
     "op8_exact_dedup": EXACT_DEDUP,
 }
