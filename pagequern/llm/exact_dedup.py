@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequern.llm._shared import ascii_lower, materialize, only
+from pagequern.llm._shared import ascii_lower, fresh, materialize, only, small
 
 #: A digest with more than this share of the rows is a heavy hitter. Bounds the broadcast to 1 / SUPPORT rows.
 SUPPORT = 0.0005
@@ -63,20 +63,20 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", supp
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of docs that decide() keeps, with all their columns.
 
-    Only rows that go are looked up, by id and digest, so that AQE can broadcast them while they
-    are few. Rows repeated with id and text, of which one stays, take a separate small path.
+    Only rows that go are looked up, by id and digest; while they are few they are broadcast. Rows repeated with id and text, of which one stays, take a separate small path.
     """
     went = decide(docs, id_col, text_col, support).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("any_kept"), F.count("*").alias("n"))
     went = materialize(went.where(~F.col("any_kept") | (F.col("n") > 1)))
     text = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    marked = docs.withColumn("__digest", F.sha2(text, 256))
+    digest = fresh(docs, "__digest")
+    marked = docs.withColumn(digest, F.sha2(text, 256))
 
     def same(other: DataFrame):
-        return marked[id_col].eqNullSafe(other["doc_id"]) & (marked["__digest"] == other["text_sha256"])
+        return marked[id_col].eqNullSafe(other["doc_id"]) & (marked[digest] == other["text_sha256"])
 
-    stay = marked.join(went, same(went), "left_anti")
+    stay = marked.join(small(went), same(went), "left_anti")
     repeated = went.where("any_kept")
     if not repeated.isEmpty():
         twice = marked.join(repeated, same(repeated), "left_semi")
-        stay = stay.unionByName(twice.dropDuplicates([id_col, "__digest"]))
-    return stay.drop("__digest")
+        stay = stay.unionByName(twice.dropDuplicates([id_col, digest]))
+    return stay.drop(digest)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequern.llm._graph import components, lookup
-from pagequern.llm._shared import materialize, only
+from pagequern.llm._shared import discard, fresh, materialize, only, small
 from pagequern.llm._text import mix64, shingle_sets, text_chunks
 
 #: Shingles of a block; a tile holds two blocks.
@@ -221,20 +221,23 @@ def cluster(
     id_type = dict(docs.dtypes).get(id_col, "string")
     rows = only(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = materialize(rows.mapInArrow(_sets(k, percent), _SETS.format(id=id_type)).withColumn("row", F.monotonically_increasing_id()))
+    with_keys = materialize(rows.mapInArrow(_sets(k, percent), _SETS.format(id=id_type)).withColumn("row", F.monotonically_increasing_id()))
+    found = materialize(with_keys.withColumn("keyed", F.size("keys") > 0).drop("keys"))
 
     # Of a class, the first row that has keys stands for all.
     no_id = F.col("id").isNull()
     classes = found.where("n > 0").groupBy("class").agg(
-        F.min(F.when(F.size("keys") > 0, F.col("row"))).alias("with_keys"), F.min("row").alias("any_row"), F.first("n").alias("n"),
+        F.min(F.when(F.col("keyed"), F.col("row"))).alias("with_keys"), F.min("row").alias("any_row"), F.first("n").alias("n"),
         F.count("*").alias("copies"), F.min("id").alias("least"), F.min(F.struct(no_id, "id", "row")).alias("best"),
     )
     classes = materialize(classes.withColumn("v", F.coalesce("with_keys", "any_row")).drop("with_keys", "any_row"))
-    keyed = found.where(F.size("keys") > 0)
+    keyed = with_keys.where(F.size("keys") > 0)
     keyed = keyed.join(classes.where("copies > 1").select(F.col("class").alias("c"), "v"), F.col("class") == F.col("c"), "left")
     keyed = keyed.where("v IS NULL OR v = row").select(F.explode("keys").alias("key"), "row")
     in_order = Window.partitionBy("key").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stars = keyed.select("row", F.first("row").over(in_order).alias("head")).where("row > head").distinct()
+    stars = materialize(stars)
+    discard(with_keys)
     clustered = materialize(components(stars, "row", "head").join(classes, "v").select("v", "root", "n", "class", F.col("best.id").alias("id")))
 
     tiles = _tiles(clustered.select("v", "root", "n"), block_shingles, percent)
@@ -249,7 +252,7 @@ def cluster(
     of_root = named.groupBy("root").agg(F.count("*").alias("n_classes"), F.min("least").alias("component_id"), F.min("best").alias("best"))
     of_class = materialize(lookup(named.select("root", "class", "copies"), of_root, "root", "n_classes"))
     by_class = of_class.select("class", "copies", "component_id", F.col("best.row").alias("best_row"))
-    some = lookup(found.where("n > 0").drop("keys"), by_class, "class", "copies")
+    some = lookup(found.where("n > 0").drop("keyed"), by_class, "class", "copies")
     some = some.select("id", "n", "component_id", "text_key", (F.col("row") == F.col("best_row")).alias("kept"))
     none = found.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "text_key", F.lit(True).alias("kept"))
     return some.unionByName(none).withColumnsRenamed({"id": "doc_id", "n": "n_shingles"})
@@ -258,21 +261,21 @@ def cluster(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that cluster() keeps, one of each component, with all their columns.
 
-    Rows that go are looked up by id and text hash, so that AQE can broadcast them while they are
-    few. Of rows repeated with id and text one stays.
+    Rows that go are looked up by id and text hash; while they are few they are broadcast. Of rows repeated with id and text one stays.
     """
     found = cluster(docs, id_col, text_col, k, percent)
     went = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.max("kept").alias("__any"), F.count("*").alias("__n"))
     went = materialize(went.where("NOT __any OR __n > 1"))
-    marked = docs.withColumn("__text_key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    key = fresh(docs, "__text_key")
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
     def same(other: DataFrame):
-        return marked[id_col].eqNullSafe(other["__id"]) & (marked["__text_key"] == other["__key"])
+        return marked[id_col].eqNullSafe(other["__id"]) & (marked[key] == other["__key"])
 
-    stay = marked.join(went, same(went), "left_anti")
+    stay = marked.join(small(went), same(went), "left_anti")
     repeated = went.where("__any")
     if not repeated.isEmpty():
         empty = F.trim(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == ""
         twice = marked.join(repeated, same(repeated), "left_semi")
-        stay = stay.unionByName(twice.where(empty)).unionByName(twice.where(~empty).dropDuplicates([id_col, "__text_key"]))
-    return stay.drop("__text_key")
+        stay = stay.unionByName(twice.where(empty)).unionByName(twice.where(~empty).dropDuplicates([id_col, key]))
+    return stay.drop(key)

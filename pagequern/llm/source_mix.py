@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequern.llm._shared import WORD, materialize, only
+from pagequern.llm._shared import WORD, fresh, materialize, only
 
 #: A document is never taken more often than this.
 MOST_REPEATS = 3
@@ -111,8 +111,10 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     Rows repeated with id and text share what is taken of them evenly. Columns of docs that are
     named like the four give way to them.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    bare = docs.drop("size", "source_size", "target", "taken")
+    own_id, own_key, key = (fresh(bare, c) for c in ("__id", "__key", "__text_key"))
+    plan = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key))
     plan = plan.agg(F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.floor(F.avg("taken")).alias("taken"))
-    marked = docs.drop("size", "source_size", "target", "taken").withColumn("__text_key", F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    marked = bare.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     plan = plan.where("taken > 0")
-    return marked.join(plan, marked[id_col].eqNullSafe(plan["__id"]) & (marked["__text_key"] == plan["__key"])).drop("__id", "__key", "__text_key")
+    return marked.join(plan, marked[id_col].eqNullSafe(plan[own_id]) & (marked[key] == plan[own_key])).drop(own_id, own_key, key)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagequern.llm._shared import only
+from pagequern.llm._shared import fresh, only
 from pagequern.llm._text import _LOWER, near_copies, text_chunks, words
 
 #: Labelled rows to learn from, at most, the first by hash of their id, and the longest text among them.
@@ -239,4 +239,5 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.7) -> DataFrame:
     """The rows of docs that score less than least, with all their columns."""
-    return with_score(docs, learn(docs, labels)).where(F.col("__score") < least).drop("__score")
+    name = fresh(docs, "__score")
+    return with_score(docs, learn(docs, labels), name=name).where(F.col(name) < least).drop(name)
