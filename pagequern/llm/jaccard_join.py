@@ -6,7 +6,11 @@
    more ranges than D, so linked sets agree on a whole range; each range's content is hashed to a
    key. A range with one shingle or none gives no key, as any passage that texts share would match
    there: Z spare ranges make up for that, and the rare sets with more than Z such ranges also give
-   keys for their prefix, the smallest hashes, of which linked sets must share one. Sets that share a key get into one cluster; no pair is made.
+   keys for their prefix, the smallest hashes, of which linked sets must share one. Of up to GROUP
+   sets that share a key, pairs are tested by parity bitmaps: a bit is whether an odd number of
+   shingles hash to it, so two sets differ in as many shingles as bits at least. Larger groups are
+   compared in one place, and only sets that are not yet connected; groups of over CROWD become
+   stars without a test. What is left connected is a cluster.
 3. A cluster sorted by set size is cut into blocks of bounded size, and two blocks make a tile if
    their sizes can link at all.
 4. In a tile, sets carry hashed bitmaps. Differing bits bound the overlap from above; only pairs
@@ -33,6 +37,8 @@ from pagequern.llm._text import mix64, shingle_sets, text_chunks
 BLOCK_SHINGLES = 1 << 21
 #: A list of candidates of up to so many rows (24 bytes each) is broadcast to pick their texts; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1 << 20
+#: Sets with a common key that are paired as rows; more are compared where they meet, up to CROWD.
+GROUP, CROWD = 16, 1 << 14
 #: Lower ends of size bands grow by this factor.
 _GROWTH = 1.3
 #: Bits of all bitmaps of a tile together, about.
@@ -95,30 +101,104 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-_SETS = "id {id}, text_key bigint, n bigint, class binary, keys array<bigint>"
+def parity_map(found: np.ndarray) -> bytes:
+    """Of a power of two bits, as many as shingles or up to twice as many: whether an odd number of shingles hash to it."""
+    bits = 1 << max(6, (len(found) - 1).bit_length())
+    odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(n: int, one: bytes, m: int, other: bytes, percent: int) -> bool:
+    """Whether two sets of n and m shingles can be linked as far as their parity maps tell."""
+    if min(n, m) * 100 < percent * max(n, m):
+        return False
+    if len(one) < len(other):
+        one, other = other, one
+    a, b, bits = int.from_bytes(one, "little"), int.from_bytes(other, "little"), 4 * len(one)
+    while bits >= 8 * len(other):  # the larger map folds to what a smaller one would be
+        a, bits = (a >> bits) ^ (a & ((1 << bits) - 1)), bits // 2
+    return (a ^ b).bit_count() * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _tested(percent: int):
+    """Edges (a, b, n1, map1, n2, map2) to those that may_link() leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = (batch.column(c).to_pylist() for c in ("n1", "map1", "n2", "map2"))
+            keep = pa.array([may_link(*x, percent) for x in zip(*rest, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
+
+    return run
+
+
+def crowd_forest(ids: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect whatever pairs of sets, sorted by size, may_link() connects; of over CROWD sets a star."""
+    if len(ids) > CROWD:
+        return [(int(ids[0]), int(i)) for i in ids[1:]]
+    width = min(map(len, maps))
+    folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, width // 8), axis=0) for m in maps])
+    group, edges = np.arange(len(ids)), []
+    for i in range(len(ids) - 1):
+        end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
+        rest = np.flatnonzero(group[i + 1 : end] != group[i]) + i + 1
+        apart = np.bitwise_count(folded[rest] ^ folded[i]).sum(axis=1, dtype=np.int64)
+        for j in rest[apart * (100 + percent) <= (sizes[rest] + sizes[i]) * (100 - percent)].tolist():
+            if group[i] != group[j]:
+                edges.append((int(ids[i]), int(ids[j])))
+                group[group == group[j]] = group[i]
+    return edges
+
+
+def _crowd_edges(percent: int):
+    """(key, row, n, map), sorted by key and n, to edges (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def done():
+            ids, sizes, maps = zip(*rows, strict=True)
+            found = crowd_forest(np.array(ids), np.array(sizes), maps, percent)
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "n", "map")), strict=True):
+                if key != now and rows:
+                    yield done()
+                    rows = []
+                now = key
+                rows.append(row)
+        if rows:
+            yield done()
+
+    return run
+
+
+_SETS = "id {id}, text_key bigint, n bigint, class binary, keys array<bigint>, map binary"
 
 
 def _sets(k: int, percent: int):
-    """(id, text, text_key) to (id, text_key, n, class, keys); a task gives the keys of a class once."""
+    """(id, text, text_key) to _SETS; a task gives keys and map of a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         for batch in batches:
             for row, end, data, offsets in text_chunks(batch.column("text")):
-                n, names, keys = [], [], []
+                n, names, keys, maps = [], [], [], []
                 for found in shingle_sets(data, offsets, k):
                     n.append(len(found))
                     names.append(name := _class_key(found))
                     new = name not in seen
                     seen.add(name)
                     keys.append(np.concatenate([bands.keys(b, found) for b in bands.of(len(found))]) if new and len(found) else np.zeros(0, np.uint64))
+                    maps.append(parity_map(found) if len(keys[-1]) else b"")
                     if len(seen) > 1 << 20:  # copies that come later only repeat their keys
                         seen.clear()
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 values = pa.array(signed(np.concatenate(keys)), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(row, end - row) for c in ("id", "text_key")), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)],
-                    names=["id", "text_key", "n", "class", "keys"],
+                    [*(batch.column(c).slice(row, end - row) for c in ("id", "text_key")), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(maps, pa.binary())],
+                    names=["id", "text_key", "n", "class", "keys", "map"],
                 )
 
     return run
@@ -222,7 +302,7 @@ def cluster(
     rows = only(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     with_keys = materialize(rows.mapInArrow(_sets(k, percent), _SETS.format(id=id_type)).withColumn("row", F.monotonically_increasing_id()))
-    found = materialize(with_keys.withColumn("keyed", F.size("keys") > 0).drop("keys"))
+    found = materialize(with_keys.withColumn("keyed", F.size("keys") > 0).drop("keys", "map"))
 
     # Of a class, the first row that has keys stands for all.
     no_id = F.col("id").isNull()
@@ -234,11 +314,20 @@ def cluster(
     keyed = with_keys.where(F.size("keys") > 0)
     keyed = keyed.join(classes.where("copies > 1").select(F.col("class").alias("c"), "v"), F.col("class") == F.col("c"), "left")
     keyed = keyed.where("v IS NULL OR v = row").select(F.explode("keys").alias("key"), "row")
-    in_order = Window.partitionBy("key").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = keyed.select("row", F.first("row").over(in_order).alias("head")).where("row > head").distinct()
-    stars = materialize(stars)
+    group = Window.partitionBy("key")
+    shared = materialize(keyed.withColumn("many", F.count("*").over(group)).where("many > 1"))
+    maps = materialize(with_keys.where("length(map) > 0").select("row", "n", "map"))
     discard(with_keys)
-    clustered = materialize(components(stars, "row", "head").join(classes, "v").select("v", "root", "n", "class", F.col("best.id").alias("id")))
+    maps = small(maps)
+    others = F.collect_list("row").over(group.orderBy("row").rowsBetween(1 - GROUP, -1))
+    pairs = shared.where(F.col("many") <= GROUP).withColumn("others", others).select(F.col("row").alias("a"), F.explode("others").alias("b")).where("a > b").distinct()
+    pairs = pairs.join(maps.select(F.col("row").alias("a"), F.col("n").alias("n1"), F.col("map").alias("map1")), "a")
+    pairs = pairs.join(maps.select(F.col("row").alias("b"), F.col("n").alias("n2"), F.col("map").alias("map2")), "b")
+    tested = pairs.select("a", "b", "n1", "map1", "n2", "map2").mapInArrow(_tested(percent), "a bigint, b bigint")
+    crowds = shared.where(F.col("many") > GROUP).join(maps, "row").select("key", "row", "n", "map")
+    crowds = crowds.repartition("key").sortWithinPartitions("key", "n", "row").mapInArrow(_crowd_edges(percent), "a bigint, b bigint")
+    edges = materialize(tested.unionByName(crowds).distinct())
+    clustered = materialize(components(edges).join(classes, "v").select("v", "root", "n", "class", F.col("best.id").alias("id")))
 
     tiles = _tiles(clustered.select("v", "root", "n"), block_shingles, percent)
     members = materialize(clustered.join(tiles, "v").select(F.col("id").alias("rep"), "v", "class", "tiles"))

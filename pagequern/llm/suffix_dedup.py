@@ -39,7 +39,7 @@ SEGMENT = 1 << 21
 #: Suffixes of a sorted run, and of a bucket, about.
 RUN, BUCKET = 1 << 17, 1 << 16
 #: A table of up to so many places is broadcast to the texts that it is about; a larger one is joined by shuffle.
-BROADCAST_PLACES = 1 << 22
+BROADCAST_PLACES = 1 << 17
 _LAST = (1 << 63) - 1
 
 
