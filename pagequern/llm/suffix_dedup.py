@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequern.llm._graph import lookup
-from pagequern.llm._shared import materialize, only
+from pagequern.llm._shared import discard, materialize, only
 from pagequern.llm._suffix_runs import Run, common_prefix, merge, pack, unpack
 from pagequern.llm._text import byte_sums, range_hash, text_chunks
 
@@ -38,8 +38,8 @@ LENGTH, GRAM = 100, 32
 SEGMENT = 1 << 21
 #: Suffixes of a sorted run, and of a bucket, about.
 RUN, BUCKET = 1 << 17, 1 << 16
-#: A table of up to so many places is broadcast to the texts that it is about; a larger one is joined by shuffle.
-BROADCAST_PLACES = 1 << 17
+#: Tables of up to so many places, or spans (16 bytes each), are broadcast to the texts that they are about; larger ones are joined by shuffle.
+BROADCAST_PLACES, BROADCAST_SPANS = 1 << 17, 1 << 20
 _LAST = (1 << 63) - 1
 
 
@@ -243,10 +243,10 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows, pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["row", "n_removed", "kept_sha256"])
 
 
-def _with_texts(rows: DataFrame, about: DataFrame, n_places: int, columns: list[str]) -> DataFrame:
+def _with_texts(rows: DataFrame, about: DataFrame, few: bool, columns: list[str]) -> DataFrame:
     """about, which names texts by id and text_key, with the texts themselves; a repeated text comes once for each row."""
     about = about.withColumnsRenamed({"id": "__id", "text_key": "__key"})
-    about = F.broadcast(about) if n_places <= BROADCAST_PLACES else about
+    about = F.broadcast(about) if few else about
     return rows.join(about, rows["id"].eqNullSafe(about["__id"]) & (rows["text_key"] == about["__key"])).select("text", *columns)
 
 
@@ -260,17 +260,18 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     """
     rows = only(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    table = materialize(rows.mapInArrow(_anchor_rows(length), _ANCHORS).withColumn("row", F.monotonically_increasing_id()))
+    anchored = materialize(rows.mapInArrow(_anchor_rows(length), _ANCHORS).withColumn("row", F.monotonically_increasing_id()))
+    table = materialize(anchored.withColumn("keyed", F.size("places") > 0).drop("hashes", "places"))
 
     # Of equal texts the first stands for all; the anchors are with any of them, v.
     doc = F.coalesce("id", F.lit(_LAST))
     classes = table.groupBy("sha").agg(
-        F.count("*").alias("copies"), F.min(F.when(F.size("places") > 0, F.struct("row", "id"))).alias("keyed"),
+        F.count("*").alias("copies"), F.min(F.when(F.col("keyed"), F.struct("row", "id"))).alias("keyed"),
         F.min(F.struct(doc.alias("doc"), "row")).alias("best"), F.first("text_key").alias("text_key"), F.first("n_bytes").alias("n_bytes"),
     )
     classes = materialize(classes.select("sha", "copies", "best", "text_key", "n_bytes", F.col("keyed.row").alias("v"), F.col("keyed.id").alias("id")))
     again = classes.where("copies > 1 AND v IS NOT NULL").select(F.col("sha").alias("c"), "v")
-    once = table.where(F.size("places") > 0).join(again, F.col("sha") == F.col("c"), "left").where("v IS NULL OR v = row")
+    once = anchored.where(F.size("places") > 0).join(again, F.col("sha") == F.col("c"), "left").where("v IS NULL OR v = row")
     found = once.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("row", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
     same = Window.partitionBy("hash").orderBy("row", "place")
     shared = found.select("row", "hash", "place", F.lag("row").over(same).alias("one"), F.lead("row").over(same).alias("other"))
@@ -278,9 +279,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     flagged = shared.groupBy("row").agg(F.collect_list(F.struct("hash", "place")).alias("flagged"))
     named = classes.where("v IS NOT NULL").select(F.col("v").alias("row"), "id", "text_key", F.col("best.doc").alias("doc"))
     flagged = materialize(flagged.join(named, "row"))
+    discard(anchored)
     places = flagged.agg(F.coalesce(F.sum(F.size("flagged")), F.lit(0))).first()[0]
 
-    texts = _with_texts(rows, flagged, places, ["doc", "row", "flagged"])
+    texts = _with_texts(rows, flagged, places <= BROADCAST_PLACES, ["doc", "row", "flagged"])
     runs = texts.mapInArrow(_run_rows(length, max(1, -(-places // BUCKET))), "bucket bigint, run binary")
     ranges = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_range_rows(length), "row bigint, start bigint, end bigint")
     in_row = Window.partitionBy("row").orderBy("start", "end")
@@ -290,7 +292,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
     spans = materialize(spans.join(named, "row").select("row", "id", "text_key", "spans"))
     n_spans = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
-    cut = _with_texts(rows, spans, n_spans, ["row", "spans"]).mapInArrow(_cut_rows, "row bigint, n_removed bigint, kept_sha256 string")
+    cut = _with_texts(rows, spans, n_spans <= BROADCAST_SPANS, ["row", "spans"]).mapInArrow(_cut_rows, "row bigint, n_removed bigint, kept_sha256 string")
     cut = cut.dropDuplicates(["row"]).join(spans.select("row", "spans"), "row").withColumnRenamed("row", "v")
 
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
