@@ -1,0 +1 @@
+"""Column functions that are built-in SQL expressions throughout."""

@@ -358,5 +358,7 @@ def compiled(selector: str) -> Callable[[Node], bool]:
                     parts.append((how, _compound(w)))
                     how = " "
             options.append(_chain(parts))
-        _COMPILED[selector] = lambda n: any(o(n) for o in options)
+        # an option that ends in a bare tag can fit an element without attributes
+        bare = any(re.fullmatch(r"[\w*-]+", one.split()[-1]) for one in re.split(r",(?![^\[]*\])", selector))
+        _COMPILED[selector] = lambda n: (bare or bool(n.attrs)) and any(o(n) for o in options)
     return _COMPILED[selector]
