@@ -318,7 +318,6 @@ def cluster(
     shared = materialize(keyed.withColumn("many", F.count("*").over(group)).where("many > 1"))
     maps = materialize(with_keys.where("length(map) > 0").select("row", "n", "map"))
     discard(with_keys)
-    maps = small(maps)
     others = F.collect_list("row").over(group.orderBy("row").rowsBetween(1 - GROUP, -1))
     pairs = shared.where(F.col("many") <= GROUP).withColumn("others", others).select(F.col("row").alias("a"), F.explode("others").alias("b")).where("a > b").distinct()
     pairs = pairs.join(maps.select(F.col("row").alias("a"), F.col("n").alias("n1"), F.col("map").alias("map1")), "a")

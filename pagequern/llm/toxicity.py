@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequern.llm._shared import fresh, only
-from pagequern.llm._text import _LOWER, near_copies, text_chunks, words
+from pagequern.llm._text import _LOWER, byte_sums, near_copies, range_hash, text_chunks, words
 
 #: Labelled rows to learn from, at most, the first by hash of their id, and the longest text among them.
 LEARN_ROWS, LEARN_CHARS = 8_000, 100_000
@@ -35,7 +35,8 @@ PRIMER = b"\x01\x02\x03\x04\x05\x06\x07\x08\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\
 TAIL = b" \x02\x04\x06\x08\x0f\x11\x13\x15\x17"
 #: See marking_words().
 LEAST_RATIO = 6.0
-_EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_EDGE = np.zeros(256, bool)
+_EDGE[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
 
 @dataclass(frozen=True)
@@ -125,28 +126,51 @@ def _column_features(texts: pa.Array, ordinary: Compressor, toxic: Compressor) -
     return np.concatenate([np.zeros((0, 2 * len(GAINS) + 1)), *(gain_features(d, o, ordinary, toxic) for _, _, d, o in text_chunks(texts))])
 
 
+def _bare_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash, text) of each word without the punctuation at its edges."""
+    start, end, _, first = words(data, offsets)
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    edge = np.append(_EDGE[data], False)
+    while (more := (start < end) & edge[start]).any():
+        start = start + more
+    while (more := (start < end) & edge[end - 1]).any():
+        end = end - more
+    some = start < end
+    start, end = start[some], end[some]
+    return start, end, range_hash(byte_sums(_LOWER[data]), start, end), text[some]
+
+
 def marking_words(texts: pa.Array, toxic: np.ndarray) -> list[bytes]:
     """The words that tell toxic texts apart, surest last.
 
     Edge punctuation doesn't count. A word marks if the likelihood ratio test of its document
     frequencies stands out among as many words, and it is LEAST_RATIO times as frequent in toxic texts.
     """
-    count: list[Counter[bytes]] = [Counter(), Counter()]
+    seen: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
     for row, _, data, offsets in text_chunks(texts):
-        raw = _LOWER[data].tobytes()
-        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), row):
-            count[int(toxic[i])].update({w.strip(_EDGE) for w in raw[a:b].split()})
+        _, _, h, text = _bare_words(data, offsets)
+        order = np.lexsort((h, text))
+        h, text = h[order], text[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        of_toxic = toxic[row + text[new]] > 0
+        seen[1].append(h[new][of_toxic])
+        seen[0].append(h[new][~of_toxic])
+    (plain, n_plain), (word, c) = (np.unique(np.concatenate(s), return_counts=True) for s in seen)
     n = [len(toxic) - int(toxic.sum()), int(toxic.sum())]
-    least = 2 * np.log(len(count[0] | count[1]) + 1)  # so that hardly any of all words passes by chance
-    found = []
-    for w, c in count[1].items():
-        o = count[0][w]
-        if w and c * (n[0] + 1) >= LEAST_RATIO * (o + 0.5) * (n[1] + 1):
-            share = (c + o) / (n[0] + n[1])
-            test = 2 * (c * np.log(c / (share * n[1])) + (o * np.log(o / (share * n[0])) if o else 0))
-            if test >= least:
-                found.append((test, w))
-    return [w for _, w in sorted(found)]
+    at = np.minimum(np.searchsorted(plain, word), max(len(plain) - 1, 0))
+    o = np.where(plain[at] == word, n_plain[at], 0) if len(plain) else np.zeros(len(word), np.int64)
+    share = (c + o) / max(n[0] + n[1], 1)
+    test = 2 * (c * np.log(c / (share * n[1])) + np.where(o > 0, o * np.log(np.maximum(o, 1) / (share * max(n[0], 1))), 0))
+    least = 2 * np.log(len(plain) + len(word) + 1)  # so that hardly any of all words passes by chance
+    marks = (c * (n[0] + 1) >= LEAST_RATIO * (o + 0.5) * (n[1] + 1)) & (test >= least)
+    wanted = dict(zip(word[marks].tolist(), test[marks].tolist(), strict=True))
+    spelled: dict[int, bytes] = {}
+    for _, _, data, offsets in text_chunks(texts.filter(pa.array(toxic > 0))):
+        start, end, h, _ = _bare_words(data, offsets)
+        for i in np.flatnonzero(np.isin(h, word[marks])).tolist():
+            spelled.setdefault(int(h[i]), _LOWER[data[start[i] : end[i]]].tobytes())
+    return [w for _, w in sorted((wanted[h], w) for h, w in spelled.items())]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
