@@ -116,6 +116,8 @@ def sorted_run(right: list[bytes], left: list[bytes], about: np.ndarray, gram_ha
             run, keep, settled, now, last = Run(), [], [], where[i][0], -1
         if last >= 0 and right[i] == right[last] and left[i] == left[last] and low[i] == low[last]:
             place = where[i][3]
+            if where[i] == where[last]:  # the same suffix again, of a row that repeats id and text
+                continue
             settled.append((where[i][2], place - len(left[i]), place + len(right[i])))
             continue
         run.lcp.append(common_prefix(right[last], right[i]) if last >= 0 else 0)
@@ -173,9 +175,12 @@ def repeated_windows(runs: list[Run], length: int = LENGTH) -> np.ndarray:
     left_lcp = np.array([0, *(common_prefix(left[a], left[b]) for a, b in zip(by_left, by_left[1:], strict=False))])
     by_left, high, low = np.array(by_left), np.array([*map(len, left)]), about[:, 3]
     earliest = np.lexsort((about[:, 2], about[:, 1], about[:, 0]))
+    again = np.zeros(n, bool)  # the same suffix from another run, of a row that repeats id and text
+    again[earliest[1:]] = (about[earliest[1:], :3] == about[earliest[:-1], :3]).all(axis=1)
+    earliest = earliest[~again[earliest]]
     left_number, out = np.zeros(n, np.int64), []
     for o in range(length - 1, -1, -1):
-        own = (low <= o) & (o <= high)
+        own = (low <= o) & (o <= high) & ~again
         if np.count_nonzero(own) < 2:
             continue
         left_number[by_left] = np.cumsum(left_lcp < o)
