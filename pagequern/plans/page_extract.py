@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequern.extract.options import Options
+from pagequern.functions import html as H
 from pagequern.operators import pages as P
 from pagequern.sources import read_table
+from pagequern.sources.files import parse_requests
 
 
 def _markup(template: str, **values: Column) -> Column:
@@ -128,6 +130,41 @@ def md_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _markdown(read_table(spark, sf_dir, "part"), "p_partkey", html)
 
 
+def text_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain text of a page made of each part."""
+    html = _markup("<head><title>t</title></head><h1>Part {k}</h1><p>Size {s}<br>next</p><script>x</script><ul><li>{b}</li><li>two</li></ul>", k=F.col("p_partkey"), s=F.col("p_size"), b=F.col("p_brand"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", P.to_text(html).alias("text"))
+
+
+def hidden_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three paragraphs, one hidden by style, class or not at all, by key."""
+    how = F.element_at(F.array(*map(F.lit, ('style="display:none"', 'class="hidden"', 'class="hidden md:block"', "hidden"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    html = _markup("<body><p>{long}</p><p {how}>secret {k}</p><p>{long} end</p></body>", how=how, k=F.col("c_custkey"), long=F.repeat(F.lit("word "), F.lit(120)))
+    found = _extracted(read_table(spark, sf_dir, "customer"), "c_custkey", html, "content", "word_count")
+    return found.select("c_custkey", F.contains("content", F.lit("secret")).alias("shown"), "word_count")
+
+
+def embedded_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = _markup('<p>a</p><iframe width="5" src="https://www.youtube.com/embed/v{k}?rel=0"></iframe>', k=F.col("p_partkey"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", H.embed_links(html).alias("html"))
+
+
+def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first value that isn't a leftover of a template."""
+    kind = F.col("c_custkey") % 4
+    first = F.when(kind == 0, F.lit("{{name}}")).when(kind == 1, F.lit("#author")).when(kind == 2, F.lit(" - ")).otherwise(F.col("c_name"))
+    return read_table(spark, sf_dir, "customer").select("c_custkey", H.first_valid(first, F.lit(""), F.col("c_mktsegment")).alias("value"))
+
+
+def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON bodies, some of them unusable, extracted; what is wrong with the others."""
+    k = F.col("c_custkey")
+    body = F.when(k % 5 == 0, F.lit("{not json")).when(k % 5 == 1, F.lit('{"url":"https://a.example"}')).when(k % 5 == 2, F.lit('{"html":""}'))
+    body = body.otherwise(_markup('{"html":"<title>{n}</title><p>x</p>","url":"https://a.example/{k}","options":{"markdown":true}}', n=F.col("c_name"), k=k))
+    rows = parse_requests(read_table(spark, sf_dir, "customer").select("c_custkey", body.alias("value")), keep=("c_custkey",))
+    return P.extract(rows, keep=("c_custkey", "error")).select("c_custkey", "error", F.when(F.col("error").isNull(), F.col("title")).alias("title"))
+
+
 def bbcode(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _markup("[h1]{k}[/h1][b]bold[/b] [url=https://e.example/{k}]go[/url] [url=javascript:x]no[/url]\n[list][*]{s}[*]b[/list][quote=me]q[/quote][foo]", k=F.col("p_partkey"), s=F.col("p_size"))
     return read_table(spark, sf_dir, "part").select("p_partkey", P.from_bbcode(source).alias("html"))
@@ -154,7 +191,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     extract_full, page_text, dom_nodes, dom_tag_counts, link_density, head_fields, schema_fields, title_without_site, mini_app, clutter_removed,
-    md_article, md_list, md_table, md_code, md_notes, bbcode, conversation_html, chat_messages,
+    md_article, md_list, md_table, md_code, md_notes, text_fixed, hidden_parts, embedded_videos, placeholders, request_bodies, bbcode, conversation_html, chat_messages,
 )}
 _NL = "chr(10)"
 ORACLE_SQL = {
@@ -176,6 +213,13 @@ SELECT c_custkey, c_name AS title, c_name AS author, 'about ' || c_name AS descr
     "md_code": f"SELECT p_partkey, '```python' || {_NL} || 'x = ' || p_partkey || {_NL} || 'if x:' || {_NL} || '    print(' || p_size || ')' || {_NL} || '```' AS markdown FROM part",
     "md_notes": f"""
 SELECT p_partkey, concat_ws({_NL} || {_NL}, 'Text[^' || p_partkey || ']', '> [!tip] Hint ' || p_size || {_NL} || '> do', '$$' || {_NL} || 'x_' || p_size || {_NL} || '$$', '![pic](/' || p_partkey || '.png)', 'cap', '[^' || p_partkey || ']: note ' || p_size) AS markdown FROM part""",
+    "text_fixed": f"SELECT p_partkey, 'Part ' || p_partkey || {_NL} || {_NL} || 'Size ' || p_size || {_NL} || 'next' || {_NL} || {_NL} || '• ' || p_brand || {_NL} || '• two' AS text FROM part",
+    "hidden_parts": "SELECT c_custkey, c_custkey % 4 >= 2 AS shown, (241 + CASE WHEN c_custkey % 4 >= 2 THEN 2 ELSE 0 END)::BIGINT AS word_count FROM customer",
+    "embedded_videos": """SELECT p_partkey, '<p>a</p><a href="https://www.youtube.com/watch?v=v' || p_partkey || '">YouTube: v' || p_partkey || '</a>' AS html FROM part""",
+    "placeholders": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN c_name ELSE c_mktsegment END AS value FROM customer",
+    "request_bodies": """
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'html is missing or no string' WHEN 1 THEN 'html is missing or no string' WHEN 2 THEN 'html is empty' END AS error,
+  CASE WHEN c_custkey % 5 >= 3 THEN c_name END AS title FROM customer""",
     "bbcode": """
 SELECT p_partkey, '<h1>' || p_partkey || '</h1><strong>bold</strong> <a href="https://e.example/' || p_partkey || '">go</a> no<br><ul><li>' || p_size || '</li><li>b</li></ul><blockquote>q</blockquote>' AS html FROM part""",
     "conversation_html": """

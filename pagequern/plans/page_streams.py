@@ -33,9 +33,19 @@ def stream_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "title", "domain", "word_count")
 
 
-QUERIES = {f.__name__: f for f in (stream_page_summary, stream_extract)}
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by type and hour, as far as the watermark has closed the hours."""
+    events = S.read_pages(spark, f"{sf_dir}/events.parquet*", "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string")
+    found = S.run_to_table(events, shared_folder(spark), S.counts_by_window)
+    return found.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n_events")
+
+
+QUERIES = {f.__name__: f for f in (stream_page_summary, stream_extract, stream_event_counts)}
 ORACLE_SQL = {
     "stream_page_summary": r"""
 SELECT page_id, trim(regexp_extract(coalesce(html, ''), '<title[^>]*>(.*?)</title>', 1)) AS title,
-  len(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[^\x20\x09-\x0D]+'))::BIGINT AS word_count FROM pages"""
+  len(regexp_extract_all(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '[^\x20\x09-\x0D]+'))::BIGINT AS word_count FROM pages""",
+    "stream_event_counts": """
+SELECT strftime(h, '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n_events FROM (SELECT date_trunc('hour', ts) AS h, event_type FROM events)
+WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""",
 }

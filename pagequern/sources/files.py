@@ -24,15 +24,15 @@ def read_html_files(spark: SparkSession, path: str) -> DataFrame:
 REQUEST = "html string, url string, options struct<debug:boolean,markdown:boolean,separate_markdown:boolean,remove_exact_selectors:boolean,remove_partial_selectors:boolean>"
 
 
-def parse_requests(bodies: DataFrame, body: str = "value") -> DataFrame:
-    """(html, url, options, error) of JSON request bodies: error says why a body isn't taken."""
+def parse_requests(bodies: DataFrame, body: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns to keep and (html, url, options, error) of JSON request bodies: error says why a body isn't taken."""
     parsed = bodies.withColumn("r", F.from_json(body, REQUEST))
     error = (
         F.when(F.col("r").isNull() | F.col("r.html").isNull(), "html is missing or no string")
         .when(F.length("r.html") == 0, "html is empty")
         .when(F.octet_length("r.html") > MOST_BYTES, "html is too large")
     )
-    return parsed.select("r.html", "r.url", "r.options", error.alias("error"))
+    return parsed.select(*keep, "r.html", "r.url", "r.options", error.alias("error"))
 
 
 def within_cap(pages: DataFrame, html: str = "html", most: int = MOST_BYTES) -> DataFrame:
