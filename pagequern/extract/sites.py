@@ -125,6 +125,10 @@ def hackernews(root: Node, head: Head, url: str) -> Found | None:
     if story is None:
         items = [f'<li><a href="{escape(attr(a, "href"))}">{escape(said(a), quote=False)}</a></li>' for n in listing if (a := link(n)) is not None]
         return Found(f"<ol>{''.join(items)}</ol>", said(root.first("title")) or None, site="Hacker News") if items else None
+    if story.first(".onstory") is not None and (text := story.first(".commtext")) is not None:
+        by, day, line = said(story.first(".hnuser")), attr(story.first(".age"), "title").split("T")[0], " ".join(text.text.split())
+        html = f"<p><strong>{escape(by, quote=False)}</strong>{' · ' + day if day else ''}</p>{inner(text)}"
+        return Found(html, f"Comment by {by}: {line if len(line) <= 50 else line[:50] + '...'}", by or None, "Hacker News", day or None)
     comments, seen = [], set()
     for c in root.select("tr.comtr"):
         text, key = c.first(".commtext"), c.attrs.get("id", "")
