@@ -22,7 +22,7 @@ MOST_REPEATS = 3
 #: A block is 1 / FINENESS of all words, BLOCK_WORDS at most and 1 at least.
 FINENESS, BLOCK_WORDS = 65536, 2048
 #: Words and rows of one shard, about; sets the number of shards.
-SHARD_WORDS = 1 << 24
+SHARD_WORDS = 1 << 20
 SEED = "mix-1"
 
 

@@ -70,7 +70,7 @@ whole AS (
   SELECT w.*, ((2 * words + block) // (2 * block))::BIGINT AS blocks FROM (
     SELECT coalesce(sum(size), 0)::BIGINT AS words,
       greatest(1, least(2048, coalesce(sum(size), 0)::BIGINT // 65536)) AS block,
-      greatest(1, (count(*) + coalesce(sum(size), 0) + 16777215)::BIGINT // 16777216) AS shards
+      greatest(1, (count(*) + coalesce(sum(size), 0) + 1048575)::BIGINT // 1048576) AS shards
     FROM sized) w),
 src AS (
   SELECT skey, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY skey) AS place,
