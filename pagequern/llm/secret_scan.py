@@ -12,9 +12,10 @@ last match ended (\\G), takes as little as it can up to the next match, and fail
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagequern.llm._graph import lookup
 from pagequern.llm._shared import materialize, only
 
 #: Kinds in the order in which spans that start together are listed.
@@ -32,45 +33,34 @@ HEAVY = 0.001
 
 
 def _matches(text: Column, kind: int, pattern: str, value_group: int) -> Column:
-    """Structs (start, end, kind, from, value) of the leftmost matches that do not overlap."""
+    """Structs (kind, step, found, value) of the leftmost matches that do not overlap.
+
+    step is how far the match ends after the end of the one before, found the length of the match.
+    """
     walk = rf"\G(?s:.*?){pattern}"
+    parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(walk), g).alias(n) for g, n in ((0, "whole"), (1, "found"), (value_group, "value"))))
+    rows = F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), F.length(x["whole"]).cast("long").alias("step"), F.length(x["found"]).cast("long").alias("found"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<kind:int,step:bigint,found:bigint,value:string>>"))
 
-    def step(state: Column, whole: Column, found: Column, value: Column) -> Column:
-        end = state["at"] + F.length(whole)
-        return F.struct(
-            end.alias("at"),
-            F.concat(state["out"], F.array(F.struct(
-                (end - F.length(found)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"),
-                (end - F.length(value)).alias("from"), value.alias("value"),
-            ))).alias("out"),
-        )
-
-    none = F.array().cast("array<struct<start:int,end:int,kind:int,from:int,value:string>>")
-    parts = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(walk), 0).alias("whole"),
-        F.regexp_extract_all(text, F.lit(walk), 1).alias("found"),
-        F.regexp_extract_all(text, F.lit(walk), value_group).alias("value"),
-    )
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    rows = F.aggregate(parts, start, lambda s, x: step(s, x["whole"], x["found"], x["value"]), lambda s: s["out"])
-    return F.when(text.rlike(pattern), rows).otherwise(none)
 
+def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, owner, repo, hits) of every row, and (row, owner, repo, kind, start, end, from, value) of every match that counts.
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
-    """(row, doc_id, owner, repo, base) of every row, written once; base: the spans sorted."""
+    Offsets are running sums over a row's matches, in a window, so that a text of any number of
+    matches takes time in proportion.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(
-        F.filter(_matches(text, 0, ASSIGN, 2), lambda x: F.length(x["value"]) >= LEAST_VALUE),
-        _matches(text, 1, ACCESS, 1),
-        _matches(text, 2, HEX, 1),
-    )
+    hits = F.concat(_matches(text, 0, ASSIGN, 2), _matches(text, 1, ACCESS, 1), _matches(text, 2, HEX, 1))
     named = only(docs, *dict.fromkeys((id_col, text_col, owner_col, repo_col)))
-    found = named.select(
+    table = materialize(named.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
-        F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"),
-        F.array_sort(base).alias("base"),
-    )
-    return materialize(found)
+        F.col(owner_col).cast("string").alias("owner"), F.col(repo_col).cast("string").alias("repo"), hits.alias("hits"),
+    ))
+    each = table.where(F.size("hits") > 0).select("row", "owner", "repo", F.posexplode("hits").alias("i", "h")).select("row", "owner", "repo", "i", "h.*")
+    so_far = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("end", F.sum("step").over(so_far)).where((F.col("kind") > 0) | (F.length("value") >= LEAST_VALUE))
+    each = each.select("row", "owner", "repo", "kind", (F.col("end") - F.col("found")).alias("start"), "end", (F.col("end") - F.length("value")).alias("from"), "value")
+    return table, materialize(each)
 
 
 def ownership(found: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
@@ -96,44 +86,28 @@ def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id",
     copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS, heavy: float = HEAVY,
 ) -> DataFrame:
-    """One row per input row: doc_id, base and spans (arrays of start, end, kind), n_live, n_copied.
+    """One row per input row: doc_id, base and spans (arrays of start, kind, end), n_live, n_copied.
 
     A null text is empty and has no spans. Rows that repeat an id are scanned each for itself; the
     repeats count as one repository. Two candidates over one value (a hex run in an assignment) give
     one verdict span for each value range. Empty input gives no rows; other columns are ignored.
     """
-    table = candidates(docs, id_col, text_col, owner_col, repo_col)
-    some = table.where(F.size("base") > 0)
-    each = some.select("row", "owner", "repo", F.explode("base").alias("c"))
-    each = each.withColumn("digest", F.unhex(F.sha2("c.value", 256))).withColumn("variety", F.size(F.array_distinct(F.split("c.value", ""))))
-    known = materialize(ownership(each.select("digest", "owner", "repo", "variety"), copied_owners, copied_repos))
-    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    common, rare = F.col("n") > F.lit(heavy * total), ["digest", "verdict"]
-
-    spans = each.select("row", "digest", F.col("c.from").alias("start"), F.col("c.end").alias("end"))
-    often = F.broadcast(known.where(common).select(*rare))
-    judged = spans.join(often, "digest").unionByName(
-        spans.join(often.drop("verdict"), "digest", "left_anti").join(known.where(~common).select(*rare), "digest")
+    table, each = candidates(docs, id_col, text_col, owner_col, repo_col)
+    hashed = each.withColumn("digest", F.unhex(F.sha2("value", 256))).withColumn("variety", F.size(F.array_distinct(F.split("value", ""))))
+    known = materialize(ownership(hashed.select("digest", "owner", "repo", "variety"), copied_owners, copied_repos))
+    values = hashed.select("row", "digest", F.col("from").alias("start"), "end")
+    judged = lookup(values, known.select("digest", "n", F.col("verdict").alias("kind")), "digest", "n", heavy)
+    added = judged.where("kind IS NOT NULL").select("row", "start", "kind", "end").distinct()
+
+    span = F.struct("start", "kind", "end")
+    of_row = each.select("row", "start", "kind", "end").unionByName(added).groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") < KINDS.index("live"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans")
     )
-    added = judged.where("verdict IS NOT NULL").groupBy("row").agg(F.collect_set(F.struct("start", "end", F.col("verdict").alias("kind"))).alias("added"))
-
-    base = F.transform("base", lambda x: F.struct(x["start"], x["end"], x["kind"]))
-    none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    with_some = some.select("row", "doc_id", base.alias("base")).join(added, "row", "left")
-    with_none = table.where(F.size("base") == 0).select("row", "doc_id", none.alias("base"), none.alias("added"))
-    both = with_some.unionByName(with_none).withColumn("added", F.coalesce("added", none))
-    by_kind = lambda x, y: F.when(_place(x) < _place(y), -1).when(_place(x) > _place(y), 1).otherwise(0)
-    of_kind = lambda k: F.size(F.filter("added", lambda x: x["kind"] == KINDS.index(k))).cast("long")
-    return both.select(
-        "doc_id",
-        F.array_sort("base", by_kind).alias("base"),
-        F.array_sort(F.concat("base", "added"), by_kind).alias("spans"),
-        of_kind("live").alias("n_live"), of_kind("copied").alias("n_copied"),
-    )
-
-
-def _place(x: Column) -> Column:
-    return F.struct(x["start"], x["kind"], x["end"])
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    with_some = table.where(F.size("hits") > 0).select("row", "doc_id").join(of_row, "row", "left").select("doc_id", *(F.coalesce(c, none).alias(c) for c in ("base", "spans")))
+    with_none = table.where(F.size("hits") == 0).select("doc_id", none.alias("base"), none.alias("spans"))
+    of_kind = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return with_some.unionByName(with_none).select("doc_id", "base", "spans", of_kind("live"), of_kind("copied"))
 
 
 def digest(found: DataFrame) -> DataFrame:
