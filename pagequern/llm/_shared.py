@@ -31,11 +31,15 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes what materialize() wrote for df, once nothing that is still to run reads it."""
+    """Deletes what materialize() wrote for df, once nothing that is still to run reads it.
+
+    Shuffle files of finished jobs go when the driver collects its garbage, so it is asked to.
+    """
     spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; one longer text makes a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
