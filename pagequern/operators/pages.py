@@ -82,6 +82,12 @@ def to_titled_markdown(html: pa.Array, title: pa.Array, base: pa.Array) -> pa.Ar
     return pa.array([None if h is None else html_to_markdown(h, t or "", b) for h, t, b in rows], pa.string())
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt out anew if they come in fewer partitions than there are cores: a page costs milliseconds, moving it does not."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def extract(pages: DataFrame, options: Options = Options(), html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """A record for each page: the columns to keep, the url, and the fields of RECORD.
 

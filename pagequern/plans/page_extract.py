@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from pagequern.extract.options import Options
 from pagequern.functions import html as H
 from pagequern.operators import pages as P
-from pagequern.sources import read_table
+from pagequern import sources
 from pagequern.sources.files import parse_requests
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table, in partitions enough for all cores."""
+    return P.spread(sources.read_table(spark, sf_dir, name))
+
+
 def _markup(template: str, **values: Column) -> Column:
     """The template with {name} in place of the columns."""
     out = F.lit(template)
