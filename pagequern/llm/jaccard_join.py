@@ -326,6 +326,7 @@ def cluster(
     crowds = shared.where(F.col("many") > GROUP).join(maps, "row").select("key", "row", "n", "map")
     crowds = crowds.repartition("key").sortWithinPartitions("key", "n", "row").mapInArrow(_crowd_edges(percent), "a bigint, b bigint")
     edges = materialize(tested.unionByName(crowds).distinct())
+    discard(shared)
     clustered = materialize(components(edges).join(classes, "v").select("v", "root", "n", "class", F.col("best.id").alias("id")))
 
     tiles = _tiles(clustered.select("v", "root", "n"), block_shingles, percent)
