@@ -23,6 +23,29 @@ def test_blocks():
     assert blocks("") == [] and blocks("<p>") == [] and [b.text for b in blocks("x")] == ["x"]
 
 
+@pytest.mark.parametrize(
+    "html, texts",
+    [
+        ("<p>a</p><script>for(var i=0;i<a.length;i++){x(a[i])}</script><p>b</p>", ["a", "b"]),
+        ("<p>a</p><script>x = '<!--'</script><p>b</p><script></script><p>c", ["a", "b", "c"]),
+        ("<datalist><option>1<option>2</datalist><p>b</p>", ["1", "2", "b"]),
+        ("<p>a <button>go</button> b</p><object><p>c</p></object>", ["a", "go", "b", "c"]),
+        ("<select><option>1<option>2</select><p>b</p>", ["b"]),
+        ("<select><option>1<p>b</p>", ["b"]),
+        ("<div><svg><g><text>x</text></div><p>b</p>", ["b"]),
+        ("<svg><path><p>b</p>", ["b"]),
+        ("<template><div><p>x</p><template>y</template></div>z</template><p>b</p>", ["b"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["so x=1 holds"]),
+        ("<math><mi>x<p>b<p>c", ["x", "b", "c"]),
+        ("<head><title>t</title><meta charset=x><p>a</p><div>b</div>", ["a", "b"]),
+        ("<head><style>p>a{}</style>\ntext <b>c</b>", ["text c"]),
+        ("<!--><p>a</p><!-- x --!><p>b</p><!-- y --><textarea><p></textarea>c", ["a", "b", "c"]),
+    ],
+)
+def test_blocks_after_raw_and_hidden_elements(html, texts):
+    assert [b.text for b in blocks(html)] == texts
+
+
 def test_main_text_of_the_test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_blocks.digest(html_blocks.extract(pages)).collect()}
