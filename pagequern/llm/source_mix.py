@@ -2,9 +2,11 @@
 
 All sizes are words. The corpus is cut into blocks of equally many words. Blocks go to sources by
 highest quotients target / (2a + 1), then each source's blocks to its shards by highest quotients
-of the shards' words, so that every shard has an integer quota and fills it alone. In a shard, a
+of the shards' words, so that every shard has an integer quota. What a quota is over the most
+repeats of its shard goes, in words, to the source's other shards in order, as far as they have
+room, so that a source loses none of its blocks by being thin in each shard. In a shard, a
 source's documents lie in seeded order as one stream, again from its start when it ends, and the
-first blocks of that stream are taken.
+first words of that stream are taken.
 
 No row is made for a block: quotients down to a divisor that is certainly too high are counted by
 division, and only the few that remain, about 1.5 for each party, are ranked.
@@ -95,7 +97,12 @@ def mix(
     cells = sized.groupBy("skey", "shard").agg(F.sum("size").alias("words"))
     cells = cells.join(wanted.withColumnRenamed("quota", "of_source").drop("blocks"), "skey")
     cells = apportion(cells, ["skey"], "shard", "words", "of_source")
-    cells = cells.withColumn("take", F.least(F.col("quota") * block, F.col("words") * MOST_REPEATS))
+    of_source = Window.partitionBy("skey")
+    before = of_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    most = F.col("words") * MOST_REPEATS
+    cells = cells.withColumn("own", F.least(F.col("quota") * block, most))
+    over = F.sum(F.col("quota") * block - F.col("own")).over(of_source) - F.coalesce(F.sum(most - F.col("own")).over(before), F.lit(0))
+    cells = cells.withColumn("take", F.col("own") + F.greatest(F.least(over, most - F.col("own")), F.lit(0)))
     cells = cells.select("skey", "shard", "words", "take", "source_size", "target")
 
     stream = Window.partitionBy("skey", "shard").orderBy("spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

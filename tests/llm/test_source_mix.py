@@ -67,6 +67,15 @@ def test_mix_meets_targets(docs_of, shard_words):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+@pytest.mark.parametrize("docs, size, shard_words", [(50, 10, 2000), (40, 30, 300), (1, 600, 100)])
+def test_thin_source_meets_target(docs_of, docs, size, shard_words):
+    rows = [(i, " ".join(["w"] * 1000), "a") for i in range(60)] + [(1000 + i, " ".join(["w"] * size), "b") for i in range(docs)]
+    got = source_mix.mix(docs_of(rows), fineness=1, block_words=200, shard_words=shard_words).collect()
+    thin = [r for r in got if r.doc_id >= 1000]
+    assert {r.target for r in thin} == {3.0 * docs * size}
+    assert sum(r.taken for r in thin) == 3 * docs * size and all(r.taken == 3 * r.size for r in thin)
+
+
 def test_take_keeps_columns_and_repeats(docs_of):
     docs = docs_of(rows_of(2))
     got = source_mix.take(docs)
