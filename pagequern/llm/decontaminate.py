@@ -1,6 +1,7 @@
 """Benchmark decontamination with SimHash windows.
 
-A benchmark item of L words is looked for in every window of L words of a document. Windows and
+A benchmark item of L words is looked for in every window of L words of a document; a document of
+fewer words is one window. Windows and
 items get 64-bit SimHash fingerprints of their weighted 5-word shingles. Multi-index blocks
 guarantee every pair within the radius: of two fingerprints RADIUS apart, one of BLOCKS parts
 differs in RADIUS // BLOCKS bits at most, so each part of an item is indexed with all values that
@@ -9,6 +10,9 @@ near. Candidates are then compared exactly by weighted Jaccard similarity.
 A window that shares no shingle with an item has similarity 0, so only windows around a shared
 shingle are fingerprinted; nothing else is skipped. Items travel to the executors in blocks of
 bounded size, one pass for each; the documents are never shuffled.
+
+Items of fewer words than a shingle have no fingerprint: they are found where a document is that
+item and nothing else, by equal words. As runs in longer texts they would be in ordinary prose.
 """
 
 from __future__ import annotations
@@ -36,10 +40,11 @@ _BIT_ENDS = np.linspace(0, 64, BLOCKS + 1).astype(int)
 
 
 class Items:
-    """Benchmark items ready for search. Items of fewer than k words are left out: ordinary text is full of them."""
+    """Benchmark items ready for search. Items of fewer than k words are in short, by their words' hashes."""
 
     def __init__(self, ids: list[int], texts: pa.Array, k: int):
         self.k, self.ids, self.size, self.lists = k, [], [], []
+        self.short: dict[tuple[int, ...], list] = {}
         for row, _, data, offsets in text_chunks(texts):
             _, _, hashes, first = words(data, offsets)
             for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True), row):
@@ -47,6 +52,8 @@ class Items:
                     self.ids.append(ids[i])
                     self.size.append(b - a)
                     self.lists.append(shingles(hashes[a:b], k))
+                elif b > a:
+                    self.short.setdefault(tuple(hashes[a:b].tolist()), []).append(ids[i])
         known, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, self.lists)]), return_counts=True)
         #: Shingles of few items weigh more; in thousandths, so that sums are exact.
         self.known, self.weight = known, np.round(1000 * (1 + np.log(len(self.ids) / np.maximum(df, 1)))).astype(np.int64)
@@ -96,16 +103,25 @@ class Items:
         return sum(weight[s] * n for s, n in (a & b).items()) / sum(weight[s] * n for s, n in (a | b).items())
 
     def leaks(self, found: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-        """(item id, similarity, first word, end word) of each item in the shingles of one text: its best window, the first of equals."""
+        """(item id, similarity, first word, end word) of each item in the shingles of one text: its best window, the first of equals.
+
+        For items longer than the text, the whole text is the window.
+        """
         at = self.hits(found)
         near: dict[int, list[int]] = {}
         for p, s in zip(at.tolist(), np.searchsorted(self.known, found[at]).tolist(), strict=True):
             for item in self.owners[s]:
                 near.setdefault(self.size[item], []).append(p)
         best: dict[int, tuple[float, int]] = {}
+        whole = None
         for size, positions in near.items():
             length = size - self.k + 1
             if len(found) < length:
+                if whole is None:
+                    whole = int(self.fingerprints(found, np.zeros(1, np.int64), len(found))[0])
+                for item in self.within_radius(whole, size):
+                    if (score := self.similarity(found, item)) >= least:
+                        best[item] = (score, 0)
                 continue
             p = np.unique(positions)
             starts = np.unique(np.clip((p[:, None] - np.arange(length)).ravel(), 0, len(found) - length))
@@ -117,7 +133,8 @@ class Items:
                         score = self.similarity(found[start : start + length], item)
                         if score >= least and score > best.get(item, (0.0, 0))[0]:
                             best[item] = (score, start)
-        return [(self.ids[i], s, start, start + self.size[i]) for i, (s, start) in sorted(best.items())]
+        end = len(found) + self.k - 1
+        return [(self.ids[i], s, start, min(start + self.size[i], end)) for i, (s, start) in sorted(best.items())]
 
     def of_batch(self, column: pa.Array, least: float) -> Iterator[tuple[int, int, float, int, int]]:
         """leaks() of every text of a column, each after its row."""
@@ -129,6 +146,10 @@ class Items:
                 a, b = int(first[i]), int(first[i + 1])
                 if b - a >= self.k:
                     yield from ((row + i, *leak) for leak in self.leaks(every[a : b - self.k + 1], least))
+            n = np.diff(first)
+            for i in np.flatnonzero((n > 0) & (n < self.k)).tolist() if self.short else ():
+                a, b = int(first[i]), int(first[i + 1])
+                yield from ((row + i, item, 1.0, 0, b - a) for item in self.short.get(tuple(hashes[a:b].tolist()), ()))
 
 
 def _parts(value: int) -> list[int]:
@@ -157,9 +178,10 @@ def leaks(
 ) -> DataFrame:
     """A row for each item that a row of docs holds: doc_id, item_id, similarity, start_word, end_word.
 
-    Words are compared with A-Z in lower case. The window is the best one, the first of equals.
-    Null and empty texts hold nothing, nor does any text hold an item of fewer than k words; rows
-    that repeat an id are searched each. Empty input gives no rows; other columns are ignored.
+    Words are compared with A-Z in lower case. The window is the best one, the first of equals; for
+    items longer than the text it is the whole text. Null and empty texts hold nothing. An item of
+    fewer than k words is held by the texts of exactly its words, with similarity 1. Rows that
+    repeat an id are searched each. Empty input gives no rows; other columns are ignored.
     """
     types = dict(docs.dtypes).get(id_col, "string"), dict(benchmark.dtypes).get(item_col, "string")
     narrow = only(docs, id_col, text_col)

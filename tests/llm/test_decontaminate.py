@@ -72,3 +72,28 @@ def test_clean_rows_stay(spark, docs_of, case):
     assert dc.leaks(docs_of([]), bench).count() == 0
     assert dc.leaks(table, bench.limit(0)).count() == 0
     assert dc.drop_leaking(table, bench.limit(0)).count() == 61
+
+
+def test_items_longer_than_the_document(spark, docs_of):
+    r = random.Random(8)
+    items = [(i, " ".join(r.choices([f"w{n}" for n in range(300)], k=40))) for i in range(20)]
+    cut = [(i, " ".join(t.split()[i % 3 : 40 - i // 4])) for i, t in items]
+    rows = [(d, t, "s") for d, t in cut] + [(99, " ".join(items[0][1].split()[:20]), "s")]
+    it = dc.Items([i for i, _ in items], pa.array([t for _, t in items]), 5)
+    want = {}
+    for d, t, _ in rows:
+        for _, _, data, offsets in dc.text_chunks(pa.array([t])):
+            found = dc.shingles(dc.words(data, offsets)[2], 5)
+            want |= {(d, i): (s, 0, len(t.split())) for i in range(20) if (s := it.similarity(found, i)) >= 0.8}
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(x.doc_id, x.item_id): (x.similarity, x.start_word, x.end_word) for x in dc.leaks(docs_of(rows), bench).collect()}
+    assert got == want and len(want) > 15 and (99, 0) not in want
+    assert {x.doc_id for x in dc.drop_leaking(docs_of(rows), bench).collect()} == {d for d, *_ in rows} - {d for d, _ in want}
+
+
+def test_items_shorter_than_a_shingle(spark, docs_of):
+    bench = spark.createDataFrame([(1, "too short"), (2, "Four words are here"), (3, ""), (4, "too short")], "item_id bigint, text string")
+    docs = docs_of([(1, "TOO  short", "s"), (2, "it is too short", "s"), (3, "four words are here", "s"), (4, "", "s"), (5, None, "s"), (6, "short too", "s")])
+    got = sorted((r.doc_id, r.item_id, r.similarity, r.start_word, r.end_word) for r in dc.leaks(docs, bench).collect())
+    assert got == [(1, 1, 1.0, 0, 2), (1, 4, 1.0, 0, 2), (3, 2, 1.0, 0, 4)]
+    assert sorted(r.doc_id for r in dc.drop_leaking(docs, bench).collect()) == [2, 4, 5, 6]
