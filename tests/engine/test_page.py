@@ -104,3 +104,16 @@ def test_registered_handler_comes_before_the_last():
         assert extract("<p>x</p>", "https://mine.example/a")["extractor_type"] == "mine"
     finally:
         sites.ROUTES[:] = [r for r in sites.ROUTES if r[0] != "mine"]
+
+
+def test_every_name_of_clutter_is_caught():
+    from pagequern.extract.cleanup import PARTIAL, any_of, names_clutter
+    from pagequern.html.dom import Node
+
+    assert len(PARTIAL) == 529
+    for name in PARTIAL:
+        # names are compared in lower case, so the one with a capital fits none
+        assert names_clutter(Node("div", {"id": f"x{name}x"}), any_of(PARTIAL)) == (name != "siteNotice")
+    lost = "pop-up submenu siteheader site-name sharedaddy post_meta postmeta post_date posttitle recent_post section-nav pagefoot upsell similar_ reading-list prevnext comment-wrap might-like"
+    for name in lost.split():
+        assert names_clutter(Node("div", {"class": f"a {name}"}), any_of(PARTIAL)), name
