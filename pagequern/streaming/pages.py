@@ -12,9 +12,10 @@ from pagequern.extract.options import Options
 from pagequern.operators.pages import extract
 
 
-def read_pages(spark: SparkSession, path: str, schema: str = "page_id bigint, url string, html string", max_files: int = 64) -> DataFrame:
-    """New parquet files of a folder, or of a file pattern, as a stream of pages."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_pages(spark: SparkSession, path: str, schema: str = "page_id bigint, url string, html string", max_files: int | None = 64) -> DataFrame:
+    """New parquet files of a folder, or of a file pattern, as a stream of pages. max_files: of one trigger; None for all there are."""
+    reader = spark.readStream.schema(schema)
+    return (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(path)
 
 
 def extracted(stream: DataFrame, options: Options = Options()) -> DataFrame:

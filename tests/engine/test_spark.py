@@ -95,3 +95,25 @@ def test_guards_agree(spark):
         return True
 
     assert [r[0] for r in got] == list(map(allowed, urls))
+
+
+def test_event_counts_of_many_unordered_files(spark, tmp_path):
+    from collections import Counter
+    from datetime import datetime, timedelta, timezone
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from pagequern.plans.page_streams import stream_event_counts
+
+    (tmp_path / "events.parquet").mkdir()
+    begin, want = datetime(2024, 1, 1, tzinfo=timezone.utc), Counter()
+    for n in range(130):
+        hour = n * 37 % 130
+        times = [begin + timedelta(hours=hour, minutes=m) for m in (0, 20, 59)]
+        if hour + 1 <= 129 + 59 / 60 - 2:
+            want[f"{times[0]:%Y-%m-%d %H:%M}", "a"] += 3
+        table = {"event_id": pa.array(range(3), pa.int64()), "ts": pa.array(times, pa.timestamp("us", "UTC")), "user_id": pa.array([1] * 3, pa.int64()), "event_type": ["a"] * 3, "value": [1.0] * 3, "props": [""] * 3}
+        pq.write_table(pa.table(table), tmp_path / "events.parquet" / f"part-{n:03}.parquet")
+    got = {(r.hour, r.event_type): r.n_events for r in stream_event_counts(spark, str(tmp_path)).collect()}
+    assert got == want
