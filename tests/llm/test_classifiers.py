@@ -1,8 +1,11 @@
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from pagequern.llm import quality, toxicity
 
@@ -23,9 +26,45 @@ def held_out_accuracy(found, labels, column, mod, rest):
 
 
 def test_toxicity_held_out(tables):
+    """A few toxic labels of the table are on texts without anything toxic, 1 in 14 of the English ones."""
     docs, labels = tables
-    accuracy, false, out = held_out_accuracy(toxicity.score(docs, labels), labels, "toxic", 3, 1)
-    assert accuracy > 0.94 and len(false) < 0.02 * len(out)
+    _, false, out = held_out_accuracy(toxicity.score(docs, labels), labels, "toxic", 3, 1)
+    toxic = [r for r in out if r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.88 * len(toxic) and len(false) <= 0.01 * len(out)
+    langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    for lang in ("en", "de", "fr", "es"):
+        own = [r for r in toxic if langs[r.doc_id] == lang]
+        assert sum(r.predicted for r in own) >= 0.85 * len(own), lang
+
+
+def test_toxicity_scores_equal_single_compressions():
+    """Window by window, with one compressor call for each, in plain Python."""
+    r = random.Random(5)
+    prose = lambda n: " ".join("".join(r.choices("abcdefghijé", k=r.randint(1, 9))) for _ in range(n))
+    texts = [prose(80) for _ in range(120)] + [f"{prose(40)} Loweian loweiix, {prose(20)} loweitum! {prose(30)}" for _ in range(30)]
+    model = toxicity.fit_texts(pa.array(texts), np.array([0] * 120 + [1] * 30))
+    assert b"LOWEi" in model.toxic and b"LOWEi" not in model.ordinary
+
+    def size(content, window):
+        given = zstandard.ZstdCompressionDict(content + toxicity.PRIMER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=given, compression_params=toxicity.parameters()).compress(toxicity.PRIMER + window + toxicity.TAIL))
+
+    def slow(text):
+        data = text.encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
+        shown, groups = bytearray(data), {}
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", data):
+            bare = re.fullmatch(rb"[!-/:-@\[-`{-~]*(.*?)[!-/:-@\[-`{-~]*", m[0], re.S)
+            at = m.start() + bare.start(1)
+            shown[at : at + min(toxicity.CAPITALS, len(bare[1]))] = bytes(x - 32 if 97 <= x <= 122 else x for x in bare[1][: toxicity.CAPITALS])
+            groups.setdefault(m.start() // toxicity.WINDOW, []).append(m.span())
+        gains = [size(model.ordinary, w) - size(model.toxic, w) for g in groups.values() for w in [bytes(shown[g[0][0] : g[-1][1]])]]
+        reached = [sum(g >= least for g in gains) for least in toxicity.GAINS]
+        x = [min(n, 3) for n in reached] + [min(20 * n / max(len(gains), 1), 3) for n in reached] + [1]
+        return 1 / (1 + np.exp(-np.clip(np.dot(x, model.weights), -30, 30)))
+
+    some = [*texts[::25], "", "Loweian", "... -- !", f"x {'y' * 500} loweitum"]
+    fast = toxicity._column_features(pa.array(some), toxicity.Compressor(model.ordinary), toxicity.Compressor(model.toxic)) @ np.array(model.weights)
+    assert np.allclose(1 / (1 + np.exp(-np.clip(fast, -30, 30))), [slow(t) for t in some])
 
 
 def test_quality_held_out(tables):
@@ -65,7 +104,6 @@ def test_drop_toxic_keeps_columns(spark, docs_of):
 
 def test_windows_cover_every_word():
     from pagequern.llm._text import text_chunks, words
-    import pyarrow as pa
 
     texts = pa.array(["one two", None, "x" * 500, "a b " * 100, ""])
     for _, _, data, offsets in text_chunks(texts):
