@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 from urllib.parse import urljoin
 
 from pagequern.extract.standardize import best_of_srcset, code_text, language_of
-from pagequern.html.dom import HEADINGS, Node, body_of, parse, serialize
+from pagequern.html.dom import DEEPEST, HEADINGS, Node, body_of, parse, serialize
 
 # Elements by the way they are rendered.
 SKIPPED = frozenset("script style noscript template".split())
@@ -76,6 +77,10 @@ def image_source(n: Node) -> str:
     return best or ("" if src.startswith("data:") else src) or n.attrs.get("data-src", "")
 
 
+# The writer goes down a tree by calls, some five for each of the levels that a parsed page can have.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
+
+
 class Writer:
     """Blocks are lists of lines of text that the caller joins with blank lines."""
 

@@ -28,16 +28,15 @@ def body_html(html: str) -> str:
 def first_image(html: str) -> str:
     """The first image of 50 pixels or of unknown size that isn't inline."""
     side = lambda v: int(v) if v.isdigit() else 100
-    for n in parse(html).all("img"):
+    for n in parse(html).all("img") if "<img" in html else ():
         src = n.attrs.get("src", "")
         if src and not src.startswith("data:") and min(side(n.attrs.get("width", "")), side(n.attrs.get("height", ""))) >= 50:
             return src
     return ""
 
 
-def clean_content(html: str, url: str | None, options: Options, removals: bool) -> str:
-    """The page as a document of its cleaned content."""
-    document = parse("<body>" + standardize.noscript_images(body_html(html)))
+def clean_content(document: Node, url: str | None, options: Options, removals: bool) -> str:
+    """The body that read_body() made as a document of its cleaned content; the given tree is used up."""
     body = body_of(document)
     if removals:
         cleanup.remove_clutter(body, options)
@@ -50,6 +49,10 @@ def clean_content(html: str, url: str | None, options: Options, removals: bool)
     return serialize(document)
 
 
+def read_body(html: str) -> Node:
+    return parse("<body>" + standardize.noscript_images(body_html(html)))
+
+
 def extract(html: str | None, url: str | None = None, options: Options = Options()) -> dict[str, Any]:
     """All fields of a page. An empty string is a missing value; a page that can't be read gives _error."""
     began = time.monotonic()
@@ -65,10 +68,11 @@ def extract(html: str | None, url: str | None = None, options: Options = Options
         record |= {k: v for k, v in given.items() if v is not None}
         record["schema_org_data"] = record["schema_org_data"] + found.schema
     else:
-        content = clean_content(html, url, options, True)
+        body = read_body(html)
+        content = clean_content(body.copy(), url, options, True)
         words = count_words(content)
         if words < FEW_WORDS and (options.remove_exact_selectors or options.remove_partial_selectors):
-            again = clean_content(html, url, options, False)
+            again = clean_content(body, url, options, False)
             more = count_words(again)
             content = again if more > 2 * words or words < HARDLY_ANY and more > words else content
         record["image"] = record["image"] or first_image(content)

@@ -13,6 +13,7 @@ SEMANTIC = ("article", "content", "footnote", "reference", "bibliography", "call
 BLOCKS = frozenset((*HEADINGS, *"div section article aside header footer nav main p pre blockquote table ul ol dl figure form fieldset details summary hr".split()))
 ADMONITIONS = ("info", "warning", "note", "tip", "danger", "caution", "important", "abstract", "success", "question", "failure", "bug", "example", "quote")
 ALERT = re.compile(r"(?i)\A\s*\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION|DANGER)\]([+-]?)[ \t]*\n?")
+_BOX = re.compile("callout|alert|admonition")
 GUTTER = frozenset("lineno linenos linenumber line-number line-numbers gutter hljs-ln-numbers blob-num rouge-gutter cm-gutters ln lnt react-syntax-highlighter-line-number".split())
 CODE_CHROME = frozenset("copy copy-button copy-btn btn-copy clipboard code-header code-toolbar toolbar toolbar-item code-block-header hljs-copy-button lang-label code-lang".split())
 NO_LANGUAGE = frozenset(("none", "plaintext", "text", ""))
@@ -88,6 +89,8 @@ def callout(kind: str, title: str, source: Node, fold: str = "") -> Node:
 
 def callouts(root: Node) -> None:
     """The alert boxes of several systems as one kind of callout."""
+    if not any(n.tag == "blockquote" or "data-callout" in n.attrs or _BOX.search(n.attrs.get("class", "")) for n in root.all()):
+        return
     for n in root.select("[data-callout]"):
         for inner in n.select(".callout-content"):
             inner.attrs.pop("style", None)
@@ -397,6 +400,8 @@ def footnotes(root: Node) -> None:
     for n in root.all():
         for key in ("id", "name", "href"):
             value = n.attrs.get(key, "")
+            if "ftn" not in value:
+                continue
             new = re.sub(r"\A(#?)_?ftnref(\d+)\Z", r"\1fnref:\2", value)
             new = re.sub(r"\A(#?)_?ftnt?(\d+)\Z", r"\1fn:\2", new)
             new = re.sub(r"\A(#?)ftnt_ref(\d+)\Z", r"\1fnref:\2", new)

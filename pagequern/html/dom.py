@@ -3,12 +3,14 @@
 The parser builds html, head and body around whatever it finds, closes what HTML lets a page leave
 open (paragraphs, list items, cells, options), keeps the content of script-like elements as text,
 and opens unclosed formatting elements again in the next block. Unlike the full standard it has no
-foster parenting and no namespaces: a misplaced element stays where it is found.
+foster parenting and no namespaces: a misplaced element stays where it is found. Nesting ends at
+DEEPEST, as in browsers: what is deeper becomes a sibling there, so that no page is too deep to read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html import escape, unescape
 
@@ -26,6 +28,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"op
             "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Open elements at most.
+DEEPEST = 512
 
 _TOKEN = re.compile(r"<!--(.*?)(?:--!?>|\Z)|<!(doctype[^>]*)>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -58,12 +62,13 @@ class Node:
 
     def replace(self, *others: Node) -> None:
         """Puts others where this node stands."""
-        parent, at = self.parent, self.place
-        self.detach()
-        for i, other in enumerate(others):
+        for other in others:
             other.detach()
+        parent, at = self.parent, self.place
+        for other in others:
             other.parent = parent
-            parent.children.insert(at + i, other)
+        self.parent = None
+        parent.children[at : at + 1] = others
 
     def before(self, other: Node) -> None:
         other.detach()
@@ -71,7 +76,25 @@ class Node:
         self.parent.children.insert(self.place, other)
 
     def unwrap(self) -> None:
-        self.replace(*list(self.children))
+        parent, at, below = self.parent, self.place, self.children
+        self.parent, self.children = None, []
+        for c in below:
+            c.parent = parent
+        parent.children[at : at + 1] = below
+
+    def copy(self) -> Node:
+        """This node and all below, without a parent."""
+        top = Node(self.tag, dict(self.attrs), self.data)
+        stack = [(self, top)]
+        while stack:
+            node, to = stack.pop()
+            for c in node.children:
+                twin = Node(c.tag, dict(c.attrs) if c.attrs else None, c.data)
+                twin.parent = to
+                to.children.append(twin)
+                if c.children:
+                    stack.append((c, twin))
+        return top
 
     @property
     def element(self) -> bool:
@@ -85,17 +108,34 @@ class Node:
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
 
-    def walk(self) -> Iterator[Node]:
+    def walk(self) -> list[Node]:
         """The nodes below in document order, as they are when the walk begins."""
+        out: list[Node] = []
         stack = self.children[::-1]
         while stack:
             node = stack.pop()
-            yield node
-            stack += node.children[::-1]
+            out.append(node)
+            if node.children:
+                stack += node.children[::-1]
+        return out
 
     def all(self, *tags: str) -> list[Node]:
         """The elements below, in document order; with tags, only those."""
-        return [n for n in self.walk() if n.tag[0] != "#" and (not tags or n.tag in tags)]
+        if tags:
+            return [n for n in self.walk() if n.tag in tags]
+        return [n for n in self.walk() if n.tag[0] != "#"]
+
+    def outside(self, *tags: str) -> list[Node]:
+        """The elements below, in document order, that aren't within such tags; the tags themselves are among them."""
+        out: list[Node] = []
+        stack = self.children[::-1]
+        while stack:
+            node = stack.pop()
+            if node.tag[0] != "#":
+                out.append(node)
+            if node.children and node.tag not in tags:
+                stack += node.children[::-1]
+        return out
 
     def up(self) -> Iterator[Node]:
         node = self.parent
@@ -104,24 +144,27 @@ class Node:
             node = node.parent
 
     def inside(self, *tags: str) -> bool:
-        return any(n.tag in tags for n in self.up())
+        node = self.parent
+        while node is not None:
+            if node.tag in tags:
+                return True
+            node = node.parent
+        return False
 
     def attached(self) -> bool:
         return any(n.tag == "#document" for n in self.up()) or self.parent is not None
 
     @property
     def text(self) -> str:
-        return self.data if self.tag == "#text" else "".join(n.data for n in self.walk() if n.tag == "#text")
+        return self.data if self.tag == "#text" else "".join([n.data for n in self.walk() if n.tag == "#text"])
 
     def first(self, selector: str) -> Node | None:
-        return next(self._matching(selector), None)
+        found = self.select(selector)
+        return found[0] if found else None
 
     def select(self, selector: str) -> list[Node]:
-        return list(self._matching(selector))
-
-    def _matching(self, selector: str) -> Iterator[Node]:
-        fits = compiled(selector)
-        return (n for n in self.walk() if n.tag[0] != "#" and fits(n))
+        bare, fits = compiled(selector)
+        return [n for n in self.walk() if (n.attrs or bare and n.tag[0] != "#") and fits(n)]
 
     def next_element(self) -> Node | None:
         return next((n for n in self.parent.children[self.place + 1 :] if n.element), None) if self.parent else None
@@ -137,6 +180,8 @@ def text_node(data: str) -> Node:
 def attributes(source: str) -> dict[str, str]:
     """Attribute names in lower case; of repeats the first counts."""
     found: dict[str, str] = {}
+    if not source or source.isspace():
+        return found
     for name, *values in _ATTR.findall(source):
         found.setdefault(name.lower(), unescape(next(filter(None, values), "")))
     return found
@@ -148,11 +193,20 @@ def parse(html: str) -> Node:
     root = document.append(Node("html"))
     head, body = root.append(Node("head")), root.append(Node("body"))
     stack, active, in_head, at = [body], [], True, 0
+    opened: Counter[str] = Counter()  # how many of each tag the stack holds
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
 
     def close(i: int) -> None:
+        for node in stack[max(i, 1) :]:
+            opened[node.tag] -= 1
         del stack[max(i, 1) :]
 
     def find(tags: set[str], barrier: set[str]) -> int | None:
+        if not any(opened[t] for t in tags):
+            return None
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 return i
@@ -161,18 +215,33 @@ def parse(html: str) -> Node:
         return None
 
     def reopen() -> None:
-        for k, node in enumerate(active):
-            if node not in stack:
-                active[k] = stack[-1].append(Node(node.tag, dict(node.attrs)))
-                stack.append(active[k])
+        """Opens again the formatting elements that a block has closed, all after the last one that is still open."""
+        first = len(active)
+        while first and not (opened[active[first - 1].tag] and any(n is active[first - 1] for n in reversed(stack))):
+            first -= 1
+        for k in range(first, len(active)):
+            if len(stack) >= DEEPEST:
+                return
+            active[k] = stack[-1].append(Node(active[k].tag, dict(active[k].attrs)))
+            push(active[k])
+
+    def remember(node: Node) -> None:
+        """For reopen(); of elements alike, the last three."""
+        alike = [n for n in active if n.tag == node.tag and n.attrs == node.attrs]
+        if len(alike) >= 3:
+            active.remove(alike[0])
+        active.append(node)
 
     def add_text(data: str) -> None:
         nonlocal in_head
         if not data:
             return
-        if data.strip():
+        if "&" in data:
+            data = unescape(data)
+        if not data.isspace():
             in_head = False
-            reopen()
+            if active:
+                reopen()
         elif in_head:
             return
         last = stack[-1].children[-1:]
@@ -183,7 +252,7 @@ def parse(html: str) -> Node:
 
     pos = 0
     while (m := _TOKEN.search(html, pos)) is not None:
-        add_text(unescape(html[at : m.start()]))
+        add_text(html[at : m.start()])
         at = pos = m.end()
         comment, doctype, end, tag, source = m.groups()
         if comment is not None:
@@ -204,10 +273,7 @@ def parse(html: str) -> Node:
                     del active[k]
                     break
             if i is not None:
-                if tag in FORMATTING:
-                    close(i)
-                else:
-                    close(i)
+                close(i)
             elif tag == "p":
                 stack[-1].append(Node("p"))
             elif tag == "br":
@@ -250,10 +316,12 @@ def parse(html: str) -> Node:
                     node.append(c)
                 at = pos = html.find(">", stop.start()) + 1 if stop else len(html)
                 continue
-            stack.append(node)
+            if len(stack) >= DEEPEST:
+                continue
+            push(node)
             if tag in FORMATTING:
-                active.append(node)
-    add_text(unescape(html[at:]))
+                remember(node)
+    add_text(html[at:])
     return document
 
 
@@ -267,7 +335,8 @@ def fragment(html: str) -> list[Node]:
 
 
 def body_of(document: Node) -> Node:
-    return next((n for n in document.walk() if n.tag == "body"), document)
+    own = next((n for top in document.children if top.tag == "html" for n in top.children if n.tag == "body"), None)
+    return own or next((n for n in document.walk() if n.tag == "body"), document)
 
 
 def serialize(node: Node) -> str:
@@ -300,7 +369,7 @@ def inner_html(node: Node) -> str:
 
 
 _PART = re.compile(r"""([\w-]+|\*)|\.([\w-]+)|#([\w-]+)|\[\s*([\w-]+)\s*(?:([~^*$|]?=)\s*(?:"([^"]*)"|'([^']*)'|([^\]\s]+))\s*)?\]""")
-_COMPILED: dict[str, Callable[[Node], bool]] = {}
+_COMPILED: dict[str, tuple[bool, Callable[[Node], bool]]] = {}
 _TESTS = {
     "=": lambda have, want: have == want, "~=": lambda have, want: want in have.split(), "^=": lambda have, want: have.startswith(want),
     "$=": lambda have, want: have.endswith(want), "*=": lambda have, want: want in have, "|=": lambda have, want: have == want or have.startswith(want + "-"),
@@ -318,7 +387,7 @@ def _compound(source: str) -> Callable[[Node], bool]:
         if tag and tag != "*":
             tests.append(lambda n, tag=tag.lower(): n.tag == tag)
         elif cls:
-            tests.append(lambda n, cls=cls: cls in n.classes)
+            tests.append(lambda n, cls=cls: cls in n.attrs.get("class", "") and cls in n.classes)
         elif own:
             tests.append(lambda n, own=own: n.attrs.get("id") == own)
         elif name and not op:
@@ -327,10 +396,13 @@ def _compound(source: str) -> Callable[[Node], bool]:
             value = next((v for v in values if v is not None), "")
             tests.append(lambda n, name=name.lower(), value=value, test=_TESTS[op]: name in n.attrs and test(n.attrs[name], value))
         at = m.end()
-    return lambda n: all(t(n) for t in tests)
+    return tests[0] if len(tests) == 1 else lambda n: all(t(n) for t in tests)
 
 
 def _chain(parts: list[tuple[str, Callable[[Node], bool]]]) -> Callable[[Node], bool]:
+    if len(parts) == 1:
+        return parts[0][1]
+
     def fits(node: Node, i: int = len(parts) - 1) -> bool:
         how, test = parts[i]
         if not node.element or not test(node):
@@ -344,8 +416,8 @@ def _chain(parts: list[tuple[str, Callable[[Node], bool]]]) -> Callable[[Node],
     return fits
 
 
-def compiled(selector: str) -> Callable[[Node], bool]:
-    """A test for a list of selectors: tags, classes, ids, attributes, descendants and children."""
+def compiled(selector: str) -> tuple[bool, Callable[[Node], bool]]:
+    """(whether an element without attributes can fit, a test) for a list of selectors: tags, classes, ids, attributes, descendants and children."""
     if selector not in _COMPILED:
         options = []
         for one in re.split(r",(?![^\[]*\])", selector):
@@ -358,7 +430,6 @@ def compiled(selector: str) -> Callable[[Node], bool]:
                     parts.append((how, _compound(w)))
                     how = " "
             options.append(_chain(parts))
-        # an option that ends in a bare tag can fit an element without attributes
         bare = any(re.fullmatch(r"[\w*-]+", one.split()[-1]) for one in re.split(r",(?![^\[]*\])", selector))
-        _COMPILED[selector] = lambda n: (bare or bool(n.attrs)) and any(o(n) for o in options)
+        _COMPILED[selector] = (bare, options[0] if len(options) == 1 else lambda n: any(o(n) for o in options))
     return _COMPILED[selector]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +33,8 @@ RECORD = _struct(
     "published string, author string, site string, schema_org_data strings, word_count bigint, parse_time bigint, mini_app_embed embed, _error string",
     meta=T.ArrayType(_struct("name string, property string, content string")), strings=T.ArrayType(T.StringType()), embed=_EMBED,
 )
+#: Bytes that a row group of a file has at least, unless the file is small.
+ROW_GROUP = 1 << 26
 MESSAGES = T.ArrayType(_struct("author string, timestamp string, html string, depth int"))
 
 
@@ -83,9 +84,14 @@ def to_titled_markdown(html: pa.Array, title: pa.Array, base: pa.Array) -> pa.Ar
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows, dealt out anew if they come in fewer partitions than there are cores: a page costs milliseconds, moving it does not."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """rows, dealt out anew if a small table may leave cores idle: a page costs milliseconds, moving it does not.
+
+    Files are cut by bytes but read by row groups, so splits that are smaller than a group are empty but for one.
+    """
+    cores, n = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    thin = size < n * ROW_GROUP and len(rows.inputFiles()) < cores
+    return rows.repartition(cores) if n < cores or thin else rows
 
 
 def extract(pages: DataFrame, options: Options = Options(), html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -117,7 +123,6 @@ def nodes(pages: DataFrame, html: str = "html", keep: str = "page_id") -> DataFr
     key_field = pages.schema[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))  # for deeply nested pages
         schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in _NODES])
         for batch in batches:
             for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
