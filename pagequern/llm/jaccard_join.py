@@ -8,11 +8,15 @@
    there: Z spare ranges make up for that, and the rare sets with more than Z such ranges also give
    keys for their prefix, the smallest hashes, of which linked sets must share one. Of up to GROUP
    sets that share a key, pairs are tested by parity bitmaps: a bit is whether an odd number of
-   shingles hash to it, so two sets differ in as many shingles as bits at least. Larger groups are
-   compared in one place, and only sets that are not yet connected; groups of over CROWD become
-   stars without a test. What is left connected is a cluster.
-3. A cluster sorted by set size is cut into blocks of bounded size, and two blocks make a tile if
-   their sizes can link at all.
+   shingles hash to it, so two sets differ in as many shingles as bits at least. Groups of up to
+   CROWD are compared in one place, and only sets that are not yet connected. Larger ones, whose
+   keys are found in a sample and counted with partial sums, hang on one of their sets without a
+   test, so that no task holds a group. What is left connected is a cluster.
+3. A cluster sorted by set size is cut into blocks of bounded size, and two blocks make a tile. For
+   clusters of many blocks the first round has tiles of neighbours only: copies of one text are
+   one component after it. The second round compares the sets outside of a cluster's largest
+   component with each other and with that component, where sizes can link at all. Pairs within
+   the component can't add anything.
 4. In a tile, sets carry hashed bitmaps. Differing bits bound the overlap from above; only pairs
    that pass, and are not yet connected in the tile, intersect their sorted arrays. A tile returns
    a forest of its links, and the components of all forests are the result.
@@ -38,7 +42,9 @@ BLOCK_SHINGLES = 1 << 21
 #: A list of candidates of up to so many rows (24 bytes each) is broadcast to pick their texts; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1 << 20
 #: Sets with a common key that are paired as rows; more are compared where they meet, up to CROWD.
-GROUP, CROWD = 16, 1 << 14
+GROUP, CROWD = 16, 1 << 12
+#: One set in so many is looked at for keys that more than CROWD sets have, and that are in more than a share of the sampled keys.
+SAMPLE, HOT_SHARE = 64, 1e-5
 #: Lower ends of size bands grow by this factor.
 _GROWTH = 1.3
 #: Bits of all bitmaps of a tile together, about.
@@ -55,11 +61,12 @@ class Bands:
         self._edges: dict[int, np.ndarray] = {}
 
     def of(self, n: int) -> list[int]:
-        """The band that n falls into, and the one below if sets of that band can link to n."""
+        """The bands of the smaller sets that can link to one of n: n's own, and those below down to percent of n."""
         while self.lows[-1] <= n:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * _GROWTH)))
         band = int(np.searchsorted(self.lows, n, "right")) - 1
-        return [b for b in (band - 1, band) if b == band or b >= 0 and n * self.percent <= (self.lows[band] - 1) * 100]
+        lowest = int(np.searchsorted(self.lows, max(-(-n * self.percent // 100), 1), "right")) - 1
+        return list(range(max(lowest, 0), band + 1))
 
     def differ(self, band: int) -> int:
         """The most shingles that two linked sets, the smaller one of this band, don't share."""
@@ -133,9 +140,7 @@ def _tested(percent: int):
 
 
 def crowd_forest(ids: np.ndarray, sizes: np.ndarray, maps: list[bytes], percent: int) -> list[tuple[int, int]]:
-    """Edges that connect whatever pairs of sets, sorted by size, may_link() connects; of over CROWD sets a star."""
-    if len(ids) > CROWD:
-        return [(int(ids[0]), int(i)) for i in ids[1:]]
+    """Edges that connect whatever pairs of sets, sorted by size, may_link() connects."""
     width = min(map(len, maps))
     folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, width // 8), axis=0) for m in maps])
     group, edges = np.arange(len(ids)), []
@@ -272,17 +277,69 @@ def _links(percent: int):
     return run
 
 
-def _tiles(clustered: DataFrame, block_shingles: int, percent: int) -> DataFrame:
-    """(v, tiles): the tiles that each member of a cluster (v, root, n) belongs to."""
-    sorted_by_size = Window.partitionBy("root").orderBy("n", "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = clustered.withColumn("block", F.floor(F.sum(F.greatest("n", F.lit(_LEAST_SET))).over(sorted_by_size) / block_shingles).cast("long"))
-    blocks = placed.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = (blocks.select("root", *(F.col(c).alias(f"{c}{i}") for c in ("block", "low", "high"))) for i in (1, 2))
-    pairs = left.join(right, "root").where((F.col("block1") <= F.col("block2")) & (F.col("low2") * percent <= F.col("high1") * 100))
-    pairs = pairs.withColumn("tile", F.xxhash64("root", "block1", "block2"))
-    sides = pairs.select("root", F.explode(F.array_distinct(F.array("block1", "block2"))).alias("block"), "tile")
-    sides = sides.groupBy("root", "block").agg(F.collect_set("tile").alias("tiles"))
-    return placed.join(sides, ["root", "block"]).select("v", "tiles")
+def _placed(members: DataFrame, group: list[str], block_shingles: int) -> DataFrame:
+    """members (group, v, n) with the block that each is in: by size within its group, by hash among equal sizes.
+
+    Only sums by size are sorted in one place for a group, never its members.
+    """
+    of_size = members.groupBy(*group, "n").agg(F.sum(F.greatest("n", F.lit(_LEAST_SET))).alias("w"), F.count("*").alias("many"))
+    before = Window.partitionBy(*group).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    of_size = of_size.withColumn("start", F.coalesce(F.sum("w").over(before), F.lit(0)))
+    of_size = materialize(of_size.select(F.struct(*group, "n").alias("at"), "start", "w", "many"))
+    found = lookup(members.withColumn("at", F.struct(*group, "n")), of_size, "at", "many")
+    within = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) / F.lit(1 << 20) * F.col("w")
+    return found.withColumn("block", F.floor((F.col("start") + within) / block_shingles).cast("long")).drop("at", "start", "w")
+
+
+def _tiles(clustered: DataFrame, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(v, tiles) of the first round, and the members (v, root, n) of clusters that need a second one."""
+    weight = F.greatest("n", F.lit(_LEAST_SET))
+    of_root = materialize(clustered.groupBy("root").agg(F.sum(weight).alias("w"), F.count("*").alias("many")))
+    found = lookup(clustered.select("v", "root", "n"), of_root, "root", "many")
+    one = found.where(F.col("w") <= 2 * block_shingles).select("v", F.array(F.xxhash64("root")).alias("tiles"))
+    large = found.where(F.col("w") > 2 * block_shingles).drop("w")
+    if large.isEmpty():
+        return one, large
+    large = materialize(_placed(large, ["root"], block_shingles))
+    beside = F.array(F.xxhash64("root", "block"), F.xxhash64("root", F.col("block") - 1))
+    return one.unionByName(large.select("v", beside.alias("tiles"))), large.drop("block")
+
+
+def _late_tiles(large: DataFrame, labels: DataFrame, block_shingles: int, percent: int) -> DataFrame:
+    """(v, tiles) of the second round: what is outside of its cluster's largest component against all of the cluster."""
+    comp = materialize(large.join(labels.withColumnRenamed("root", "comp"), "v", "left").withColumn("comp", F.coalesce("comp", "v")))
+    sizes = comp.groupBy("root", "comp").agg(F.count("*").alias("many"))
+    main = sizes.groupBy("root").agg(F.max(F.struct("many", "comp")).alias("main"), F.sum("many").alias("all"))
+    main = materialize(main.select("root", F.col("main.comp").alias("main"), F.col("main.many").alias("in_main"), "all"))
+    open_ = lookup(comp, main.where("in_main < all").drop("in_main"), "root", "all").withColumn("inner", F.col("comp") == F.col("main")).drop("comp", "main")
+    placed = materialize(_placed(open_, ["root", "inner"], block_shingles))
+    blocks = placed.groupBy("root", "inner", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left, right = (blocks.select("root", *(F.col(c).alias(f"{c}{i}") for c in ("inner", "block", "low", "high"))) for i in (1, 2))
+    pairs = left.where("NOT inner1").join(right, "root").where(F.col("inner2") | (F.col("block1") <= F.col("block2")))
+    pairs = pairs.where((F.col("low2") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high2") * 100))
+    pairs = pairs.withColumn("tile", F.xxhash64("root", "block1", "inner2", "block2"))
+    sides = pairs.select("root", "tile", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"inner{i}").alias("inner"), F.col(f"block{i}").alias("block")) for i in (1, 2))))).alias("side"))
+    sides = sides.groupBy("root", "side").agg(F.collect_set("tile").alias("tiles")).select(F.struct("root", "side.inner", "side.block").alias("at"), "tiles")
+    sizes = placed.groupBy("root", "inner", "block").agg(F.count("*").alias("many")).select(F.struct("root", "inner", "block").alias("at"), "many")
+    return lookup(placed.withColumn("at", F.struct("root", "inner", "block")), materialize(sides.join(sizes, "at")), "at", "many").select("v", "tiles")
+
+
+def _tile_links(rows: DataFrame, clustered: DataFrame, tiles: DataFrame, k: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """The links (a, b) that tile_forest() finds in all tiles; rows (id, text) are read once for it."""
+    members = materialize(clustered.join(tiles, "v").select(F.col("id").alias("rep"), "v", "class", "tiles"))
+    few = members.count() <= broadcast_rows
+    texts = rows.join(F.broadcast(members) if few else members, rows["id"].eqNullSafe(members["rep"])).select("text", "class", "v", "tiles")
+    sets = texts.mapInArrow(_members(k), "tile bigint, v bigint, n bigint, shingles binary")
+    sets = sets.repartition("tile").sortWithinPartitions("tile", "n", "v")
+    return sets.mapInArrow(_links(percent), "a bigint, b bigint")
+
+
+def _hot_keys(with_keys: DataFrame) -> DataFrame:
+    """Keys that more than CROWD sets seem to have, by a sample of sets; a broadcast of 1 / HOT_SHARE keys at most."""
+    some = with_keys.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"))
+    counts = materialize(some.groupBy("key").agg(F.count("*").alias("many")).where(F.col("many") > CROWD / (2 * SAMPLE)))
+    total = some.count() if not counts.isEmpty() else 0
+    return counts.where(F.col("many") > F.lit(HOT_SHARE * total)).select("key")
 
 
 def cluster(
@@ -314,6 +371,9 @@ def cluster(
     keyed = with_keys.where(F.size("keys") > 0)
     keyed = keyed.join(classes.where("copies > 1").select(F.col("class").alias("c"), "v"), F.col("class") == F.col("c"), "left")
     keyed = keyed.where("v IS NULL OR v = row").select(F.explode("keys").alias("key"), "row")
+    hot = _hot_keys(with_keys)
+    crowded = [] if hot.isEmpty() else [materialize(keyed.join(F.broadcast(hot), "key", "left_semi"))]
+    keyed = keyed.join(F.broadcast(hot), "key", "left_anti") if crowded else keyed
     group = Window.partitionBy("key")
     shared = materialize(keyed.withColumn("many", F.count("*").over(group)).where("many > 1"))
     maps = materialize(with_keys.where("length(map) > 0").select("row", "n", "map"))
@@ -323,19 +383,22 @@ def cluster(
     pairs = pairs.join(maps.select(F.col("row").alias("a"), F.col("n").alias("n1"), F.col("map").alias("map1")), "a")
     pairs = pairs.join(maps.select(F.col("row").alias("b"), F.col("n").alias("n2"), F.col("map").alias("map2")), "b")
     tested = pairs.select("a", "b", "n1", "map1", "n2", "map2").mapInArrow(_tested(percent), "a bigint, b bigint")
-    crowds = shared.where(F.col("many") > GROUP).join(maps, "row").select("key", "row", "n", "map")
+    crowds = shared.where((F.col("many") > GROUP) & (F.col("many") <= CROWD)).join(maps, "row").select("key", "row", "n", "map")
     crowds = crowds.repartition("key").sortWithinPartitions("key", "n", "row").mapInArrow(_crowd_edges(percent), "a bigint, b bigint")
-    edges = materialize(tested.unionByName(crowds).distinct())
+    crowded = [*crowded, shared.where(F.col("many") > CROWD).select("key", "row")]
+    crowded = crowded[0] if len(crowded) == 1 else crowded[0].unionByName(crowded[1])
+    least = materialize(crowded.groupBy("key").agg(F.min("row").alias("b"), F.count("*").alias("many")))
+    stars = lookup(crowded, least, "key", "many").select(F.col("row").alias("a"), "b").where("a <> b")
+    edges = materialize(tested.unionByName(crowds).unionByName(stars).distinct())
     discard(shared)
     clustered = materialize(components(edges).join(classes, "v").select("v", "root", "n", "class", F.col("best.id").alias("id")))
 
-    tiles = _tiles(clustered.select("v", "root", "n"), block_shingles, percent)
-    members = materialize(clustered.join(tiles, "v").select(F.col("id").alias("rep"), "v", "class", "tiles"))
-    few = members.count() <= broadcast_rows
-    texts = rows.join(F.broadcast(members) if few else members, rows["id"].eqNullSafe(members["rep"])).select("text", "class", "v", "tiles")
-    sets = texts.mapInArrow(_members(k), "tile bigint, v bigint, n bigint, shingles binary")
-    sets = sets.repartition("tile").sortWithinPartitions("tile", "n", "v")
-    labels = components(sets.mapInArrow(_links(percent), "a bigint, b bigint"))
+    tiles, large = _tiles(clustered, block_shingles)
+    links = materialize(_tile_links(rows, clustered, tiles, k, percent, broadcast_rows))
+    labels = components(links)
+    if not large.isEmpty():
+        late = _late_tiles(large, labels, block_shingles, percent)
+        labels = components(links.unionByName(_tile_links(rows, clustered, late, k, percent, broadcast_rows)))
 
     named = classes.join(labels, "v", "left").withColumn("root", F.coalesce("root", "v"))
     of_root = named.groupBy("root").agg(F.count("*").alias("n_classes"), F.min("least").alias("component_id"), F.min("best").alias("best"))

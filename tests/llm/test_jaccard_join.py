@@ -54,7 +54,32 @@ def test_components_match_brute_force(docs_of, seed, k, percent, options):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows, k, percent)
 
 
-@pytest.mark.parametrize("percent", [80, 85])
+@pytest.mark.parametrize("percent", [50, 75])
+def test_any_threshold_matches_brute_force(docs_of, percent):
+    rows = rows_of(percent)
+    got = jj.cluster(docs_of(rows), k=4, percent=percent)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows, 4, percent)
+
+
+def test_a_hot_key_is_spread(docs_of, monkeypatch):
+    """Most rows share keys: none of the bounds on a group, a sample or a block hides a link or adds one, and no group is gathered."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for _ in range(r.choice((0, 1, 1, 2))):
+            own[r.randrange(60)] = f"x{r.randrange(50)}"
+        rows.append((i, " ".join(own), "s"))
+    rows += [(1000 + i, " ".join(f"w{j}" for j in range(40)) + " " + " ".join(f"y{i}z{j}" for j in range(r.randint(0, 25))), "s") for i in range(60)]
+    for name, value in (("CROWD", 20), ("GROUP", 4), ("SAMPLE", 2), ("_LEAST_SET", 1)):
+        monkeypatch.setattr(jj, name, value)
+    for block in (400, 1 << 21):
+        got = jj.cluster(docs_of(rows), k=4, percent=85, block_shingles=block)
+        assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()), key=str) == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80, 85])
 def test_linked_sets_share_a_key(percent):
     """Whatever the sizes, two sets at the threshold share a key of a common band."""
     r, bands = np.random.default_rng(percent), jj.Bands(percent)
