@@ -13,6 +13,10 @@ comes before, or earlier in its own.
    bytes and what lies before the anchors shares o. Both are intervals of a sorted order, cut
    where the common prefix is shorter, so equal windows are found for each o by two interval
    numbers and all but the earliest go. No pair is compared.
+   An anchor of a passage that very many texts share would bring all of them to one bucket. Hot
+   anchors are found in a sample, and each of their suffixes goes to a bucket for each of a few
+   spans of o instead, named by the bytes on either side that all windows of that span hold. Most
+   of them are then alike and settle in step 2, the others part by what is before the anchor.
 4. Ranges are merged for each document and cut from its text.
 
 Equal texts are settled by their hash first, and only one of them takes part.
@@ -40,6 +44,10 @@ SEGMENT = 1 << 21
 RUN, BUCKET = 1 << 17, 1 << 16
 #: Tables of up to so many places, or spans (16 bytes each), are broadcast to the texts that they are about; larger ones are joined by shuffle.
 BROADCAST_PLACES, BROADCAST_SPANS = 1 << 17, 1 << 20
+#: Spans of distances from a window's start to its anchor, by their ends, into which hot anchors are split.
+SPANS = (1, 2, 3, 5, 8, 12, 18, 28, 45, 256)
+#: One text in so many is looked at for hot anchors: at least so many of them, and more than a share of all, have the same hash.
+SAMPLE, HOT_LEAST, HOT_SHARE = 64, 8, 1e-5
 _LAST = (1 << 63) - 1
 
 
@@ -129,6 +137,19 @@ def sorted_run(right: list[bytes], left: list[bytes], about: np.ndarray, gram_ha
         yield now, done()
 
 
+def split_suffix(right: bytes, left: bytes, low: int, name: int, length: int) -> Iterator[tuple[bytes, bytes, int, int]]:
+    """(right, left, low, name) of a hot anchor's suffix for each of SPANS: equal windows have equal names."""
+    begin = 0
+    for end in SPANS:
+        first, last = max(low, begin), min(len(left), end - 1)
+        if first <= last:
+            own = right[: length - first], left[:last]
+            common = right[: max(length - end + 1, 0)], left[:begin]
+            key = hashlib.blake2b(b"%d %d %d " % (name, begin, len(common[0])) + b"".join(common), digest_size=8).digest()
+            yield *own, first, int.from_bytes(key, "little")
+        begin = end
+
+
 def _run_rows(length: int, buckets: int):
     """(text, flagged anchors, doc, row) to (bucket, run): front-coded sorted runs."""
 
@@ -144,14 +165,16 @@ def _run_rows(length: int, buckets: int):
             texts, docs, rows, lists = (batch.column(c) for c in ("text", "doc", "row", "flagged"))
             for i in range(batch.num_rows):
                 data, doc, row = (texts[i].as_py() or "").encode(), docs[i].as_py(), rows[i].as_py()
-                for name, packed in zip(*(lists[i].values.field(f).to_pylist() for f in ("hash", "place")), strict=True):
+                for name, packed, hot in zip(*(lists[i].values.field(f).to_pylist() for f in ("hash", "place", "hot")), strict=True):
                     start, count, off = packed >> 16, packed >> 8 & 255, packed & 255
-                    right.append(data[start + off : start + count - 1 + length])
-                    left.append(data[start : start + off][::-1])
-                    about.append((doc, row, start + off, off - count + 1))
-                    names.append(name & (1 << 64) - 1)
-                if len(right) >= RUN:
-                    yield flush()
+                    one = data[start + off : start + count - 1 + length], data[start : start + off][::-1], off - count + 1, name & (1 << 64) - 1
+                    for r, l, low, n in split_suffix(*one, length) if hot else (one,):
+                        right.append(r)
+                        left.append(l)
+                        about.append((doc, row, start + off, low))
+                        names.append(n)
+                    if len(right) >= RUN:
+                        yield flush()
         if right:
             yield flush()
 
@@ -174,9 +197,9 @@ def repeated_windows(runs: list[Run], length: int = LENGTH) -> np.ndarray:
     by_left = sorted(range(n), key=left.__getitem__)
     left_lcp = np.array([0, *(common_prefix(left[a], left[b]) for a, b in zip(by_left, by_left[1:], strict=False))])
     by_left, high, low = np.array(by_left), np.array([*map(len, left)]), about[:, 3]
-    earliest = np.lexsort((about[:, 2], about[:, 1], about[:, 0]))
-    again = np.zeros(n, bool)  # the same suffix from another run, of a row that repeats id and text
-    again[earliest[1:]] = (about[earliest[1:], :3] == about[earliest[:-1], :3]).all(axis=1)
+    earliest = np.lexsort((about[:, 3], about[:, 2], about[:, 1], about[:, 0]))
+    again = np.zeros(n, bool)  # the same windows of a suffix from another run, of a row that repeats id and text
+    again[earliest[1:]] = (about[earliest[1:]] == about[earliest[:-1]]).all(axis=1)
     earliest = earliest[~again[earliest]]
     left_number, out = np.zeros(n, np.int64), []
     for o in range(length - 1, -1, -1):
@@ -255,6 +278,13 @@ def _with_texts(rows: DataFrame, about: DataFrame, few: bool, columns: list[str]
     return rows.join(about, rows["id"].eqNullSafe(about["__id"]) & (rows["text_key"] == about["__key"])).select("text", *columns)
 
 
+def _hot_hashes(some: DataFrame) -> DataFrame:
+    """Hashes of the sampled anchors that very many texts seem to have: they are in several of the sample, so they are shared for sure."""
+    counts = materialize(some.groupBy("hash").agg(F.count("*").alias("many")).where(F.col("many") >= HOT_LEAST))
+    total = some.count() if not counts.isEmpty() else 0
+    return counts.where(F.col("many") > F.lit(HOT_SHARE * total)).select("hash")
+
+
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end of each removed run).
 
@@ -277,11 +307,18 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     classes = materialize(classes.select("sha", "copies", "best", "text_key", "n_bytes", F.col("keyed.row").alias("v"), F.col("keyed.id").alias("id")))
     again = classes.where("copies > 1 AND v IS NOT NULL").select(F.col("sha").alias("c"), "v")
     once = anchored.where(F.size("places") > 0).join(again, F.col("sha") == F.col("c"), "left").where("v IS NULL OR v = row")
-    found = once.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("row", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
+    def exploded(rows: DataFrame) -> DataFrame:
+        return rows.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("row", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
+
+    found, hot = exploded(once), _hot_hashes(exploded(once.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)))
+    any_hot = not hot.isEmpty()
+    rest = found.join(F.broadcast(hot), "hash", "left_anti") if any_hot else found
     same = Window.partitionBy("hash").orderBy("row", "place")
-    shared = found.select("row", "hash", "place", F.lag("row").over(same).alias("one"), F.lead("row").over(same).alias("other"))
-    shared = shared.where("one IS NOT NULL OR other IS NOT NULL")
-    flagged = shared.groupBy("row").agg(F.collect_list(F.struct("hash", "place")).alias("flagged"))
+    shared = rest.select("row", "hash", "place", F.lag("row").over(same).alias("one"), F.lead("row").over(same).alias("other"))
+    shared = shared.where("one IS NOT NULL OR other IS NOT NULL").select("row", "hash", "place", F.lit(False).alias("hot"))
+    if any_hot:
+        shared = shared.unionByName(found.join(F.broadcast(hot), "hash", "left_semi").withColumn("hot", F.lit(True)))
+    flagged = shared.groupBy("row").agg(F.collect_list(F.struct("hash", "place", "hot")).alias("flagged"))
     named = classes.where("v IS NOT NULL").select(F.col("v").alias("row"), "id", "text_key", F.col("best.doc").alias("doc"))
     flagged = materialize(flagged.join(named, "row"))
     discard(anchored)

@@ -39,6 +39,35 @@ def test_matches_brute_force(docs_of, seed):
         assert sum(s.end - s.start for s in x.spans) == x.n_removed and len(x.spans) == x.n_spans
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_anchors_are_split(docs_of, monkeypatch, seed):
+    """A passage in most texts, after and before text of their own: the result is the same, and no bucket gets all of them."""
+    for name, value in (("SAMPLE", 2), ("HOT_LEAST", 3), ("RUN", 50)):
+        monkeypatch.setattr(sd, name, value)
+    r = random.Random(seed)
+    letters = "ab" if seed == 1 else "abcdefghijklmnop "
+    passage = "".join(r.choices("abcdefgh ", k=230))
+    rows = [(i, "".join(r.choices(letters, k=r.randint(0, 60))) + (passage if i % 4 else passage[r.randint(0, 90) :]) + "".join(r.choices(letters, k=r.randint(0, 150))), "s") for i in range(90)]
+    rows += [(100, rows[3][1], "s"), (3, rows[3][1], "s"), (101, rows[5][1] + rows[5][1], "s"), (None, passage * 2, "s")]
+    got = sd.removed(docs_of(rows)).collect()
+    assert sorted(((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in got), key=str) == brute([(i, t) for i, t, _ in rows])
+
+
+def test_split_suffixes_of_equal_windows_meet():
+    """For every distance, equal windows get one name, and a suffix's spans hold each of its windows once."""
+    r = random.Random(4)
+    gram = bytes(r.choices(b"xyz", k=32))
+    for _ in range(200):
+        left, right = bytes(r.choices(b"ab", k=68)), gram + bytes(r.choices(b"ab", k=68))
+        high, low = r.randint(0, 68), 0
+        other = bytes(r.choices(b"ab", k=68))
+        cut = r.randint(0, 68)
+        spans = [list(sd.split_suffix(right[: 100 - low], x[:h], low, 7, 100)) for x, h in ((left, high), (left[:cut] + other[cut:], 68))]
+        for o in range(min(high, cut) + 1):
+            names = [[n for rr, ll, first, n in own if first <= o <= len(ll) and len(rr) >= 100 - o] for own in spans]
+            assert names[0] == names[1] and len(names[0]) == 1
+
+
 def test_small_runs_and_buckets_and_shuffled_texts(docs_of, monkeypatch):
     for name, value in (("RUN", 7), ("BUCKET", 5), ("BROADCAST_PLACES", 0), ("BROADCAST_SPANS", 0), ("SEGMENT", 300)):
         monkeypatch.setattr(sd, name, value)
