@@ -22,6 +22,8 @@ BREAKS_OUT = {
     ),
     "select": frozenset("article aside blockquote body dl fieldset footer form h1 h2 h3 h4 h5 h6 header input li main nav ol p pre section select table td textarea th tr ul".split()),
 }
+#: Open elements at most, as in browsers; what is deeper has the path of its ancestors up to there.
+DEEPEST = 512
 CLOSED_BY = {"li": "li", "dt": "dd dt", "dd": "dd dt", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "optgroup": "optgroup option"}
 
 _TAG = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -61,7 +63,8 @@ def blocks(html: str) -> list[Block]:
     Character references are decoded, and white space in a block becomes one space. An unclosed
     paragraph, list item or cell ends where the next begins, and what is open in it ends with it.
     A raw element is text up to its own end tag, whatever that text looks like. The head ends at
-    the first element or text that can't be in it.
+    the first element or text that can't be in it. A raw element that never ends takes the rest of
+    the page, as in browsers.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -160,7 +163,7 @@ def blocks(html: str) -> list[Block]:
                     break
         elif tag == "br":
             text.append(" ")
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
             stack.append((tag, tokens_of(tag, m[3])))
             links += tag == "a"
             heads += tag == "head"

@@ -25,7 +25,7 @@ from pagequern.llm._text import words
 
 BUCKETS, DIM, HIDDEN = 1 << 12, 16, 20
 #: Training pages, passes, pages of a step, and the seed of all of it.
-PAGES, EPOCHS, STEP, SEED = 1500, 12, 30, 5
+PAGES, EPOCHS, STEP, SEED = 1500, 6, 30, 5
 #: Blocks that are labelled at once, padding included, about.
 BATCH_BLOCKS = 1 << 14
 _MEASURES = 5
@@ -35,7 +35,7 @@ _STOPS[list(b".!?,;")] = 1
 
 @lru_cache(1 << 14)
 def _path_buckets(path: tuple[str, ...]) -> np.ndarray:
-    own = [*path[-40:], *("/" + t for t in path[-3:])] or [""]
+    own = [*path, *("/" + t for t in path[-3:])] or [""]
     return np.array([xxhash.xxh32_intdigest(t) % BUCKETS for t in own])
 
 
@@ -64,29 +64,30 @@ class Labeller:
         for side in "fb":
             self.w |= {f"{side}x": r.normal(0, 0.2, (n_in, 4 * HIDDEN)), f"{side}h": r.normal(0, 0.2, (HIDDEN, 4 * HIDDEN)), f"{side}c": np.zeros(4 * HIDDEN)}
             self.w[f"{side}c"][HIDDEN : 2 * HIDDEN] = 1  # gates remember at first
+        self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
         self.moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.w.items()}
         self.steps = 0
 
     def _embed(self, pages: list) -> tuple[np.ndarray, np.ndarray, list]:
         """(pages, blocks, inputs), the mask, and what went into the means."""
-        longest = max(len(p[4]) for p in pages)
-        x, mask, used = np.zeros((len(pages), longest, 2 * DIM + _MEASURES)), np.zeros((len(pages), longest)), []
+        longest, kind = max(len(p[4]) for p in pages), self.w["out"].dtype
+        x, mask, used = np.zeros((len(pages), longest, 2 * DIM + _MEASURES), kind), np.zeros((len(pages), longest), kind), []
         place = np.concatenate([i * longest + np.arange(len(p[4])) for i, p in enumerate(pages)])
         mask.reshape(-1)[place] = 1
         flat = x.reshape(len(pages) * longest, -1)
         for which, name, at in ((0, "path", 0), (2, "text", DIM)):
             bucket, size = (np.concatenate([p[w] for p in pages]) for w in (which, which + 1))
             owner = np.repeat(np.arange(len(size)), size)
-            ends = np.concatenate([np.zeros((1, DIM)), np.cumsum(self.w[name][bucket], axis=0)])
+            ends = np.concatenate([np.zeros((1, DIM)), np.cumsum(self.w[name][bucket], axis=0, dtype=np.float64)])
             stop = np.cumsum(size)
             flat[place, at : at + DIM] = (ends[stop] - ends[stop - size]) / np.maximum(size, 1)[:, None]
-            used.append((name, at, bucket, place[owner], 1 / np.maximum(size, 1)[owner]))
+            used.append((name, at, bucket, place[owner], (1 / np.maximum(size, 1)[owner]).astype(kind)))
         flat[place, 2 * DIM :] = np.concatenate([p[4] for p in pages])
         return x, mask, used
 
     def _run(self, side: str, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
         n, steps, _ = x.shape
-        h, c, kept, out = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), [], np.zeros((n, steps, HIDDEN))
+        h, c, kept, out = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype), [], np.zeros((n, steps, HIDDEN), x.dtype)
         given = x @ self.w[f"{side}x"] + self.w[f"{side}c"]
         for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
             z = given[:, t] + h @ self.w[f"{side}h"]
@@ -106,8 +107,8 @@ class Labeller:
         hidden = np.concatenate([s[0] for s in sides], axis=2)
         return 1 / (1 + np.exp(-(hidden @ self.w["out"] + self.w["bias"]))), x, mask, used, sides, hidden
 
-    def learn(self, pages: list, labels: list[np.ndarray], rate: float) -> None:
-        """One step of Adam on the mean log loss of the blocks."""
+    def gradients(self, pages: list, labels: list[np.ndarray]) -> dict[str, np.ndarray]:
+        """Of the mean log loss of the blocks, for all weights."""
         p, x, mask, used, sides, hidden = self.forward(pages)
         y = np.zeros_like(mask)
         for i, own in enumerate(labels):
@@ -117,8 +118,8 @@ class Labeller:
         dx, d_hidden = np.zeros_like(x), d[..., None] * self.w["out"]
         for k, side in enumerate("fb"):
             w_h, w_x = self.w[f"{side}h"], self.w[f"{side}x"]
-            dz_all, g_h = np.zeros((*x.shape[:2], 4 * HIDDEN)), np.zeros_like(w_h)
-            dh, dc = np.zeros((len(x), HIDDEN)), np.zeros((len(x), HIDDEN))
+            dz_all, g_h = np.zeros((*x.shape[:2], 4 * HIDDEN), x.dtype), np.zeros_like(w_h)
+            dh, dc = np.zeros((len(x), HIDDEN), x.dtype), np.zeros((len(x), HIDDEN), x.dtype)
             for t, h, c, i, f, o, new, squashed, m in reversed(sides[k][1]):
                 dh = dh + d_hidden[:, t, k * HIDDEN : (k + 1) * HIDDEN]
                 dh2, dc2 = m * dh, m * dc
@@ -127,14 +128,21 @@ class Labeller:
                 dz_all[:, t] = dz
                 g_h += h.T @ dz
                 dh, dc = (1 - m) * dh + dz @ w_h.T, (1 - m) * dc + dc2 * f
-            g |= {f"{side}h": g_h, f"{side}x": np.einsum("ntx,ntz->xz", x, dz_all), f"{side}c": dz_all.sum((0, 1))}
+            g |= {f"{side}h": g_h, f"{side}x": x.reshape(-1, x.shape[2]).T @ dz_all.reshape(-1, 4 * HIDDEN), f"{side}c": dz_all.sum((0, 1))}
             dx += dz_all @ w_x.T
         flat = dx.reshape(-1, x.shape[2])
         for name, at, bucket, place, weight in used:
+            order = np.argsort(bucket, kind="stable")
+            each, first = np.unique(bucket[order], return_index=True)
             g[name] = np.zeros_like(self.w[name])
-            np.add.at(g[name], bucket, flat[place, at : at + DIM] * weight[:, None])
+            if len(each):
+                g[name][each] = np.add.reduceat((flat[place, at : at + DIM] * weight[:, None])[order], first, axis=0)
+        return g
+
+    def learn(self, pages: list, labels: list[np.ndarray], rate: float) -> None:
+        """One step of Adam."""
         self.steps += 1
-        for name, grad in g.items():
+        for name, grad in self.gradients(pages, labels).items():
             first, second = self.moments[name]
             first += 0.1 * (grad - first)
             second += 0.01 * (grad**2 - second)
@@ -315,7 +323,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     whole, however long; character references are decoded. Repeated rows give repeated results;
     empty input gives no rows; other columns are ignored.
     """
-    weights = {k: v.astype(np.float32) for k, v in (net or trained()).w.items()}
+    weights = (net or trained()).w
     names = (id_col, url_col, html_col)
     types = dict(pages.dtypes)
 

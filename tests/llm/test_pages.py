@@ -1,6 +1,10 @@
+import random
 import re
 from html import unescape
+from html.parser import HTMLParser
+from math import exp, tanh
 
+import numpy as np
 import pytest
 
 from pagequern.llm import html_blocks, warc_fixity as wf
@@ -46,6 +50,95 @@ def test_blocks_after_raw_and_hidden_elements(html, texts):
     assert [b.text for b in blocks(html)] == texts
 
 
+class Shown(HTMLParser):
+    """The characters that a page shows, by the parser of the standard library."""
+
+    def __init__(self):
+        super().__init__()
+        self.off, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.off += tag in ("script", "style")
+
+    def handle_endtag(self, tag):
+        self.off -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if not self.off:
+            self.out.append(data)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_every_character_is_in_some_block(seed):
+    r = random.Random(seed)
+    parts = ["word", "a &amp; b", "x < y says", " 1 <2 ", "&eacute;t\u00e9", "<p>", "</p>", "<div class='a b'>", "</div>", "<b>", "</b>", "<br>", "<ul><li>", "</ul>", "<td>", "<button>", "<option>",
+             "<h2>t</h2>", "<a href='x>y'>", "</a>", "<script>if(i<n){f('<p>')}</script>", "<style>a<b{}</style>", "<!-- <p> -->", "<img alt='<'>", "<math><mi>x</mi></math>", "<span\n id=q>", "</section>"]
+    html = "<body>" + "".join(r.choice(parts) for _ in range(200))
+    shown = Shown()
+    shown.feed(html)
+    shown.close()
+    assert "".join("".join(b.text for b in blocks(html)).split()) == "".join("".join(shown.out).split())
+
+
+def test_path_reaches_the_outermost_element():
+    html = "<body><section class='comments'>" + "<div class='md:px-4 col-12 a b c'>" * 60 + "<p>reply</p>"
+    assert blocks(html)[0].path[:3] == ("<body>", "<section>", "c:comments")
+    assert html_blocks.inputs(blocks(html))[1][0] > 300
+    found = blocks("<div>" * 20_000 + "x" + "</div>" * 20_000 + "y")
+    assert [b.text for b in found] == ["x", "y"]
+
+
+def naive(w, page):
+    """The network on one page, number by number."""
+    path, n_path, words, n_words, measures = page
+    xs, at, to = [], 0, 0
+    for k in range(len(measures)):
+        means = []
+        for name, bucket, low, n in (("path", path, at, n_path[k]), ("text", words, to, n_words[k])):
+            means += [sum(float(w[name][b][d]) for b in bucket[low : low + n]) / max(n, 1) for d in range(html_blocks.DIM)]
+        at, to = at + n_path[k], to + n_words[k]
+        xs.append(means + [float(m) for m in measures[k]])
+    hidden = html_blocks.HIDDEN
+    sigmoid = lambda z: 1 / (1 + exp(-z))
+    outs = []
+    for side, steps in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+        h, c, out = [0.0] * hidden, [0.0] * hidden, {}
+        for t in steps:
+            z = [sum(x * float(w[side + "x"][i][j]) for i, x in enumerate(xs[t])) + sum(v * float(w[side + "h"][i][j]) for i, v in enumerate(h)) + float(w[side + "c"][j]) for j in range(4 * hidden)]
+            c = [sigmoid(z[hidden + j]) * c[j] + sigmoid(z[j]) * tanh(z[3 * hidden + j]) for j in range(hidden)]
+            h = [sigmoid(z[2 * hidden + j]) * tanh(c[j]) for j in range(hidden)]
+            out[t] = h
+        outs.append(out)
+    return [sigmoid(sum(v * float(o) for v, o in zip(outs[0][t] + outs[1][t], w["out"], strict=True)) + float(w["bias"][0])) for t in range(len(xs))]
+
+
+def test_network_equals_a_scalar_one_and_its_gradients_are_right():
+    pages = [html_blocks.inputs(found[:n]) for n, (found, _) in zip((3, 5, 7), html_blocks.training_pages(3, 9), strict=True)]
+    net = html_blocks.Labeller(3)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    p = net.forward(pages)[0]
+    for i, page in enumerate(pages):
+        assert np.allclose(p[i, : len(page[4])], naive(net.w, page))
+    labels = [np.arange(len(page[4])) % 2.0 for page in pages]
+
+    def loss():
+        p = net.forward(pages)[0]
+        each = [-np.log(np.where(y > 0, p[i, : len(y)], 1 - p[i, : len(y)])) for i, y in enumerate(labels)]
+        return np.concatenate(each).mean()
+
+    grads, r = net.gradients(pages, labels), np.random.default_rng(0)
+    for name, g in grads.items():
+        places = np.argwhere(np.abs(g) > 1e-6)
+        for at in map(tuple, places[r.permutation(len(places))[:6]]):
+            old = net.w[name][at]
+            found = []
+            for step in (1e-5, -1e-5):
+                net.w[name][at] = old + step
+                found.append(loss())
+            net.w[name][at] = old
+            assert np.isclose((found[0] - found[1]) / 2e-5, g[at], rtol=1e-3, atol=1e-8), name
+
+
 def test_main_text_of_the_test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_blocks.digest(html_blocks.extract(pages)).collect()}
