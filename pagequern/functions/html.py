@@ -13,6 +13,7 @@ OTHER_WORDS = (
     "ad", "banner", "cookie", "copyright", "footer", "header", "homepage", "menu", "nav", "newsletter", "popular", "privacy",
     "recommended", "related", "rights", "share", "sidebar", "social", "sponsored", "subscribe", "terms", "trending", "widget",
 )
+# A written date and a byline.
 DATE = r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s+\d{4}\b"
 BYLINE = r"\b(?:by|written by|author:)\s+[A-Za-z\s]+\b"
 
