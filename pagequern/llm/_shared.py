@@ -16,10 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only if that setting is absent, as in tests."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one on a local master, as in tests, and an error on a cluster."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagequern-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(base or tempfile.mkdtemp(prefix="pagequern-"))
     return f"{context._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 

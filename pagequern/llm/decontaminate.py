@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -26,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from pagequern.llm._shared import WORD, only
+from pagequern.llm._shared import WORD, fresh, materialize, only, small
 from pagequern.llm._text import mix64, shingles, text_chunks, words
 
 #: Bits in which fingerprints of similar texts differ at most, and the blocks of the index.
@@ -174,7 +176,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, k: int, broadc
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text", broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """A row for each item that a row of docs holds: doc_id, item_id, similarity, start_word, end_word.
 
@@ -183,32 +185,42 @@ def leaks(
     fewer than k words is held by the texts of exactly its words, with similarity 1. Rows that
     repeat an id are searched each. Empty input gives no rows; other columns are ignored.
     """
-    types = dict(docs.dtypes).get(id_col, "string"), dict(benchmark.dtypes).get(item_col, "string")
     narrow = only(docs, id_col, text_col)
-    schema = "doc_id {}, item_id {}, similarity double, start_word bigint, end_word bigint".format(*types)
+    item_type = only(benchmark, item_col).schema[0].dataType
+    fields = [("doc_id", narrow.schema[0].dataType), ("item_id", item_type), ("similarity", T.DoubleType()), ("start_word", T.LongType()), ("end_word", T.LongType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
 
     def search(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kinds = [to_arrow_type(f.dataType) for f in schema][1:]
             for batch in batches:
                 found = list(items.of_batch(batch.column(1), least))
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[i] for f in found], t) for i, t in ((1, to_arrow), (2, pa.float64()), (3, pa.int64()), (4, pa.int64())))], names=["doc_id", "item_id", "similarity", "start_word", "end_word"])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([f[i] for f in found], t) for i, t in enumerate(kinds, 1))], names=schema.names)
 
         return run
 
-    to_arrow = pa.int64() if types[1] == "bigint" else pa.int32() if types[1] == "int" else pa.string()
     out = None
-    for items in item_blocks(benchmark, item_col, item_text_col, k):
+    for items in item_blocks(benchmark, item_col, item_text_col, k, broadcast_words):
         one = narrow.mapInArrow(search(items), schema)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item of the benchmark, with all their columns; see leaks()."""
-    at = docs.columns.index(text_col)
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float = 0.8, text_col: str = "text", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """The rows of docs that hold no item of the benchmark, with all their columns; see leaks().
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; repeated rows stay or go
+    alike. One block of items filters the rows as they are read. With more, hashes of the texts that
+    hold an item are found block by block, and rows with such a text go.
+    """
+    blocks = item_blocks(benchmark, "item_id", "text", k, broadcast_words)
+    first, second = next(blocks), next(blocks, None)
+    names = docs.columns
 
     def keep(items: Items):
+        at = names.index(text_col)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
@@ -217,6 +229,21 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
 
         return run
 
-    for items in item_blocks(benchmark, "item_id", "text", k):
-        docs = docs.mapInArrow(keep(items), T.StructType(docs.schema.fields))
-    return docs
+    if second is None:
+        return docs.mapInArrow(keep(first), T.StructType(docs.schema.fields))
+    key = fresh(docs, "__text_key")
+    marked = docs.withColumn(key, F.xxhash64(F.col(f"`{text_col}`")))
+    hashed = only(docs, text_col).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+
+    def holding(items: Items):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = sorted({f[0] for f in items.of_batch(batch.column(1), least)})
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64()))], names=["key"])
+
+        return run
+
+    found = [materialize(hashed.mapInArrow(holding(items), "key bigint")) for items in (first, second)]
+    found += [materialize(hashed.mapInArrow(holding(items), "key bigint")) for items in blocks]
+    leaking = materialize(reduce(DataFrame.unionByName, found).distinct().withColumnRenamed("key", key))
+    return marked.join(small(leaking), key, "left_anti").select(*(F.col(f"`{c}`") for c in names))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -42,13 +43,15 @@ def case():
 
 
 @pytest.mark.parametrize("words", [1 << 20, 100])
-def test_matches_brute_force(spark, docs_of, case, words, monkeypatch):
+def test_matches_brute_force(spark, docs_of, case, words):
     docs, items = case
-    monkeypatch.setattr(dc.item_blocks, "__defaults__", (words,))
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     rows = [(d, t, "s") for d, t in docs] + [(500, None, "s"), (501, "", "s"), (3, docs[3][1], "s")]
-    got = dc.leaks(docs_of(rows), bench).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items)
+    got = dc.leaks(docs_of(rows), bench, broadcast_words=words).collect()
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want
+    kept = sorted(r.doc_id for r in dc.drop_leaking(docs_of(rows), bench, broadcast_words=words).collect())
+    assert kept == sorted(d for d, _, _ in rows if d not in {x for x, _ in want})
     for r in got:
         said = next(t for d, t in docs if d == r.doc_id).lower().split()[r.start_word : r.end_word]
         assert len(said) == len(next(t for i, t in items if i == r.item_id).split())
@@ -68,7 +71,8 @@ def test_clean_rows_stay(spark, docs_of, case):
     table = docs_of([(d, t, "s") for d, t in docs] + [(600, None, "s")])
     kept = dc.drop_leaking(table, bench)
     assert kept.columns == table.columns
-    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in brute(docs, items)} | {600}
+    leaked = {d for d, _ in brute(docs, items)}
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - leaked | {600}
     assert dc.leaks(docs_of([]), bench).count() == 0
     assert dc.leaks(table, bench.limit(0)).count() == 0
     assert dc.drop_leaking(table, bench.limit(0)).count() == 61
@@ -97,3 +101,37 @@ def test_items_shorter_than_a_shingle(spark, docs_of):
     got = sorted((r.doc_id, r.item_id, r.similarity, r.start_word, r.end_word) for r in dc.leaks(docs, bench).collect())
     assert got == [(1, 1, 1.0, 0, 2), (1, 4, 1.0, 0, 2), (3, 2, 1.0, 0, 4)]
     assert sorted(r.doc_id for r in dc.drop_leaking(docs, bench).collect()) == [2, 4, 5, 6]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "date", "decimal(9,2)"])
+def test_keys_of_any_type(spark, docs_of, kind):
+    text = "one two three four five six seven eight"
+    bench = spark.sql(f"SELECT CAST('{'2024-01-02' if kind == 'date' else '7'}' AS {kind}) AS item_id, '{text}' AS text")
+    got = dc.leaks(docs_of([(1, text, "s"), (2, "other", "s")]), bench)
+    assert got.schema["item_id"].dataType == bench.schema["item_id"].dataType and [r.doc_id for r in got.collect()] == [1]
+
+
+def test_recall_of_similar_windows(spark):
+    """Of windows that are similar enough, the share whose fingerprints are within the radius."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect() if len((r.text or "").split()) >= 12]
+    it, r = dc.Items(list(range(len(texts))), pa.array(texts), 5), random.Random(6)
+    found = similar = 0
+    for n, text in enumerate(texts):
+        for _ in range(30):
+            words = text.split()
+            for _ in range(r.randint(1, 1 + len(words) // 25)):
+                words[r.randrange(len(words))] = f"x{r.randrange(99)}"
+            for _, _, data, offsets in dc.text_chunks(pa.array([" ".join(words)])):
+                window = dc.shingles(dc.words(data, offsets)[2], 5)
+            if it.similarity(window, n) >= 0.8:
+                similar += 1
+                value = int(it.fingerprints(window, np.zeros(1, np.int64), len(window))[0])
+                found += n in it.within_radius(value, it.size[n])
+    assert similar > 300 and found >= 0.97 * similar, (found, similar)
+
+
+def test_a_very_long_text(spark, docs_of):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    got = dc.leaks(docs_of([(1, f"{long} {item} {long}", "s")]), spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.start_word) for r in got] == [(1, 400_000)]
