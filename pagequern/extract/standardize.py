@@ -16,6 +16,7 @@ ALERT = re.compile(r"(?i)\A\s*\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION|DANGER)\]([
 _BOX = re.compile("callout|alert|admonition")
 GUTTER = frozenset("lineno linenos linenumber line-number line-numbers gutter hljs-ln-numbers blob-num rouge-gutter cm-gutters ln lnt react-syntax-highlighter-line-number".split())
 CODE_CHROME = frozenset("copy copy-button copy-btn btn-copy clipboard code-header code-toolbar toolbar toolbar-item code-block-header hljs-copy-button lang-label code-lang".split())
+NOT_SELECTED = re.compile(r"(?i)user-select\s*:\s*none")
 NO_LANGUAGE = frozenset(("none", "plaintext", "text", ""))
 PERMALINKS = frozenset(("#", "¶", "§", "🔗", "", "link"))
 LAZY_SRC = ("data-src", "data-original", "data-lazy-src", "data-lazy")
@@ -160,7 +161,7 @@ def code_text(n: Node) -> str:
             out.append(e.data)
             return
         names = {c.lower() for c in e.classes}
-        if e.tag in ("button", "style", "script") or names & GUTTER or names & CODE_CHROME or "data-line-number" in e.attrs and not e.text.strip():
+        if e.tag in ("button", "style", "script") or NOT_SELECTED.search(e.attrs.get("style", "")) and re.fullmatch(r"\s*\d+\s*", e.text) or names & GUTTER or names & CODE_CHROME or "data-line-number" in e.attrs and not e.text.strip():
             return
         if e.tag == "br":
             out.append("\n")
@@ -393,59 +394,165 @@ def tables(root: Node) -> None:
 
 # Footnotes
 
+# How pages name and mark notes.
+NOTE_NUMBER = re.compile(r"[\[(]?(\d{1,4})[\])]?[.:]?")
+NOTE_HEADINGS = frozenset(("notes", "footnotes", "footnote", "endnotes", "references"))
+NOTE_PARAGRAPHS = ("footnote", "footnote-text", "footnote-item")
+NOTE_IDS = (
+    (re.compile(r"\A(#?)_?ftnref(\d+)\Z"), r"\1fnref:\2"), (re.compile(r"\A(#?)ftnt_ref(\d+)\Z"), r"\1fnref:\2"),
+    (re.compile(r"\A(#?)_?ftnt?(\d+)\Z"), r"\1fn:\2"), (re.compile(r"\A(#?)easy-footnote-bottom-(\d+)(?:-\d+)?\Z"), r"\1fn:\2"),
+)
+Note = tuple[str, list[Node]]
 
-def footnotes(root: Node) -> None:
-    """Word, Google Docs, aside and paragraph footnotes as an ordered list with fn: ids, and references in sup."""
-    renames = {}
+
+def canonical_note_ids(root: Node) -> None:
+    """Word's, Google Docs' and a plugin's names of notes as fn:N and fnref:N."""
     for n in root.all():
         for key in ("id", "name", "href"):
             value = n.attrs.get(key, "")
-            if "ftn" not in value:
-                continue
-            new = re.sub(r"\A(#?)_?ftnref(\d+)\Z", r"\1fnref:\2", value)
-            new = re.sub(r"\A(#?)_?ftnt?(\d+)\Z", r"\1fn:\2", new)
-            new = re.sub(r"\A(#?)ftnt_ref(\d+)\Z", r"\1fnref:\2", new)
-            if new != value:
-                n.attrs[key] = new
-                renames[value] = new
-    notes: list[tuple[str, list[Node]]] = []
+            if "ftn" in value or "easy-footnote" in value:
+                for pattern, new in NOTE_IDS:
+                    n.attrs[key] = value = pattern.sub(new, value)
+    for n in root.select("a.easy-footnote-to-top"):
+        n.detach()
+
+
+def reference(number: str) -> Node:
+    return Node("sup", {"id": f"fnref:{number}"}, children=[Node("a", {"href": f"#fn:{number}"}, children=[text_node(number)])])
+
+
+def inline_notes(root: Node) -> list[Note]:
+    """Notes that stand in the text itself, or in an element that the reference names; references take their place."""
+    notes: list[Note] = []
     for n in root.select("span.inline-footnote, span.footnote-inline, [data-definition]"):
-        aside = None
-        if "data-definition" in n.attrs:
-            wanted = n.attrs["data-definition"]
-            aside = next((a for a in root.all("aside", "div", "span") if a.attrs.get("id") == wanted), None) if re.fullmatch(r"[A-Za-z_][\w-]*", wanted) else None
-            if aside is None:
-                continue
-        content = n.select(".footnote-content, .inline-footnote-content") if aside is None else [aside]
-        number = str(len(notes) + 1)
-        notes.append((number, list((content[0] if content else n).children)))
-        if aside is not None:
-            aside.detach()
-        n.replace(Node("sup", {"id": f"fnref:{number}"}, children=[Node("a", {"href": f"#fn:{number}"}, children=[text_node(number)])]))
-    defined = [p for p in root.all("p") if re.fullmatch(r"fn:?-?\d+", p.attrs.get("id", ""))]
+        wanted = n.attrs.get("data-definition")
+        own = re.fullmatch(r"\s*(\d+)\s*", "".join(c.data for c in n.children if c.tag == "#text"))
+        number = own[1] if own else str(len(notes) + 1)
+        if wanted is None:
+            body = n.first(".footnoteContent, .footnote-content, .inline-footnote-content") or (n if has_class(n, "footnote-inline") else None)
+        else:
+            body = next((a for a in root.all("aside", "div", "span") if a.attrs.get("id") == wanted), None) if re.fullmatch(r"[A-Za-z_][\w-]*", wanted) else None
+        if body is None:
+            continue
+        if body is not n:
+            body.detach()
+        notes.append((number, list(body.children)))
+        n.replace(reference(number))
+    return notes
+
+
+def leading_number(p: Node) -> tuple[str, Node] | None:
+    """The number that a paragraph begins with in sup or bold, perhaps within spans, and the node that holds it."""
+    at: Node | None = p
+    while at is not None and at.tag not in ("sup", "strong", "b"):
+        if at is not p and at.tag != "span":
+            return None
+        at = next((c for c in at.children if c.element or c.tag == "#text" and c.data.strip()), None)
+    if at is None:
+        return None
+    inner = next((c for c in at.children if c.element or c.data.strip()), None)
+    for holder in (at, inner) if inner is not None and inner.tag == "sup" and at.tag != "sup" else (at,):
+        if found := NOTE_NUMBER.fullmatch(holder.text.strip()):
+            return found[1], holder
+    return None
+
+
+def heads_notes(n: Node | None) -> bool:
+    return n is not None and (n.tag == "hr" or n.tag in HEADINGS and n.text.strip().lower() in NOTE_HEADINGS)
+
+
+def taken_out(found: list[tuple[str, Node, Node | None]], run: bool = False) -> list[Note]:
+    """Notes of (number, block, marker): blocks and markers leave the page, and a rule or heading before the first of them.
+
+    In a run, what stands between two notes belongs to the first of them, and what follows the last
+    one to that if a rule or heading sets the notes apart.
+    """
+    notes: list[Note] = []
+    apart = bool(found) and heads_notes(before := found[0][1].previous_element())
+    if apart:
+        before.detach()
+    blocks = {id(block) for _, block, _ in found}
+    for i, (number, block, marker) in enumerate(found):
+        if marker is not None:
+            marker.detach()
+        around, more = block.parent, []
+        if run and (apart or i + 1 < len(found)):
+            for after in around.children[block.place + 1 :]:
+                if id(after) in blocks:
+                    break
+                more.append(after)
+        for after in more:
+            after.detach()
+        block.detach()
+        if any(m.element for m in more):
+            notes.append((number, [Node("p", children=list(block.children)), *more]))
+            continue
+        while around is not None and around.parent is not None and around.tag in ("div", "section", "aside") and all(heads_notes(c) if c.element else not c.data.strip() for c in around.children):
+            around.detach()
+            around = None
+        notes.append((number, list(block.children)))
+    return notes
+
+
+def paragraph_notes(root: Node) -> list[Note]:
+    """Paragraphs that are notes: by their id, by a link back, by their class, or as a run that begins with rising numbers."""
+    marked: list[tuple[str, Node, Node | None]] = [(m[1], p, None) for p in root.all("p") if (m := re.fullmatch(r"fn:?-?(\d+)", p.attrs.get("id", "")))]
     for a in root.select("a[href^='#fnref']"):
         p = next((x for x in a.up() if x.tag in ("p", "div")), None)
         number = re.search(r"\d+", a.attrs["href"])
-        if p is not None and number and p not in defined and not p.inside("li") and re.match(r"\s*\[?\d+", p.text):
-            a.detach()
-            p.attrs["id"] = "fn:" + number[0]
-            defined.append(p)
-    if len(defined) >= 2 or len(defined) == 1 and notes == [] and defined[0].previous_element() is not None and defined[0].previous_element().tag == "hr":
-        before = defined[0].previous_element()
-        if before is not None and (before.tag == "hr" or before.tag in HEADINGS and before.text.strip().lower() in ("notes", "footnotes", "references")):
-            before.detach()
-        for p in sorted(defined, key=lambda p: int(re.search(r"\d+", p.attrs["id"])[0])):
-            notes.append((re.search(r"\d+", p.attrs["id"])[0], list(p.children)))
-            p.detach()
+        if p is not None and number and all(p is not x for _, x, _ in marked) and not p.inside("li") and re.match(r"\s*\[?\d+", p.text):
+            marked.append((number[0], p, a))
+    if len(marked) == 1 and not heads_notes(marked[0][1].previous_element()):
+        marked = []
+    marked.sort(key=lambda m: int(m[0]))
+    runs: dict[int, list[tuple[str, Node, Node | None]]] = {}
+    notes: list[Note] = []
+    for p in root.all("p"):
+        if (found := leading_number(p)) and all(p is not x for _, x, _ in marked) and not p.inside("li", "blockquote", "td"):
+            (marked if has_class(p, *NOTE_PARAGRAPHS) else runs.setdefault(id(p.parent), [])).append((found[0], p, found[1]))
+    for run in runs.values():
+        numbers = [int(number) for number, _, _ in run]
+        if numbers == sorted(set(numbers)) and (len(run) > 1 or heads_notes(run[0][1].previous_element())):
+            notes += taken_out(run, True)
+    return taken_out(marked) + notes
+
+
+def numbered_references(root: Node) -> list[Note]:
+    """Blocks that begin with a number to which links with that number lead. The links become references."""
+    named = {n.attrs[key]: n for n in root.all() for key in ("name", "id") if n.attrs.get(key)}
+    order = {id(n): i for i, n in enumerate(root.all())}
+    found: dict[str, tuple[str, Node, Node | None]] = {}
+    links: list[tuple[Node, str]] = []
+    for a in root.select("a[href^='#']"):
+        number, target = NOTE_NUMBER.fullmatch(a.text.strip()), named.get(a.attrs["href"][1:])
+        if not number or target is None or order[id(target)] < order[id(a)] or target.tag in ("li", "sup") or target.inside("li", "sup", "pre"):
+            continue
+        block = next((x for x in (target, *target.up()) if x.tag in ("p", "div")), None)
+        marker = NOTE_NUMBER.fullmatch(target.text.strip()) if target is not block else None
+        if block is not None and marker and marker[1] == number[1] and len(block.text.strip()) > len(target.text.strip()):
+            found[number[1]] = (number[1], block, target)
+            links.append((a, number[1]))
+    if len(found) < 2:
+        return []
+    for a, number in links:
+        a.replace(reference(number))
+    return taken_out(list(found.values()))
+
+
+def footnotes(root: Node) -> None:
+    """The notes of all systems as an ordered list with fn: ids, and references in sup."""
+    canonical_note_ids(root)
+    notes = inline_notes(root) + paragraph_notes(root) + numbered_references(root)
     if notes:
-        items = [Node("li", {"id": f"fn:{k}", "class": "footnote"}, children=[Node("p", children=c)]) for k, c in notes]
+        blocks = lambda c: any(x.tag in ("p", "div", "ul", "ol", "blockquote") for x in c)
+        items = [Node("li", {"id": f"fn:{k}", "class": "footnote"}, children=c if blocks(c) else [Node("p", children=c)]) for k, c in notes]
         next(iter(root.all("body")), root).append(Node("div", {"id": "footnotes", "class": "footnotes"}, children=[Node("ol", {"class": "footnotes-list"}, children=items)]))
     for a in root.select("a[href^='#fn:'], a[href^='#fn-'], a[href^='#footnote-'], a[href^='#cite_note']"):
         if a.parent is not None and a.parent.tag not in ("sup", "li") and re.fullmatch(r"\[?[\d*†]+\]?", a.text.strip()):
             at = Node("sup")
             a.before(at)
             at.append(a)
-    for ol in root.select("#footnotes ol, .footnotes ol, ol.references"):
+    for ol in root.select("#footnotes ol, .footnotes ol, ol.references, ol.footnotes, ol.easy-footnotes-wrapper, [data-footnotes] ol"):
         if "footnotes-list" not in ol.classes:
             ol.attrs["class"] = " ".join([*ol.classes, "footnotes-list"])
 

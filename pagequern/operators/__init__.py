@@ -1,5 +1,5 @@
 """DataFrame operators over pages."""
 
-from pagequern.operators.pages import extract, messages, nodes, register_functions
+from pagequern.operators.pages import extract, extract_requests, messages, nodes, register_functions
 
-__all__ = ["extract", "messages", "nodes", "register_functions"]
+__all__ = ["extract", "extract_requests", "messages", "nodes", "register_functions"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import lru_cache
 
 import pyarrow as pa
@@ -43,19 +44,36 @@ def record_udf(options: Options = Options()):
     """(html, url) to a struct of RECORD. One evaluation serves all fields that are taken from it."""
     kind = to_arrow_type(RECORD)
 
-    def one(html: str | None, url: str | None) -> dict:
-        try:
-            return page.extract(html, url, options)
-        except Exception as e:  # a page that can't be read must not fail its task
-            return {"_error": f"{type(e).__name__}: {e}"}
-
     @F.arrow_udf(RECORD)
     def extract_page(html: pa.Array, url: pa.Array) -> pa.Array:
-        return pa.array([one(h, u) for h, u in zip(html.to_pylist(), url.to_pylist(), strict=True)], kind)
+        return pa.array([_record(h, u, options) for h, u in zip(html.to_pylist(), url.to_pylist(), strict=True)], kind)
 
     return extract_page
 
 
+def _record(html: str | None, url: str | None, options: Options) -> dict:
+    try:
+        return page.extract(html, url, options)
+    except Exception as e:  # a page that can't be read must not fail its task
+        return {"_error": f"{type(e).__name__}: {e}"}
+
+
+@lru_cache(16)
+def request_udf(defaults: Options = Options()):
+    """(html, url, options) to a struct of RECORD; of a row's options, those that aren't null replace the defaults. A null html gives no record."""
+    kind = to_arrow_type(RECORD)
+
+    def one(html: str | None, url: str | None, own: dict | None) -> dict | None:
+        given = {k: v for k, v in (own or {}).items() if v is not None}
+        return None if html is None else _record(html, url, replace(defaults, **given))
+
+    @F.arrow_udf(RECORD)
+    def extract_request(html: pa.Array, url: pa.Array, options: pa.Array) -> pa.Array:
+        return pa.array([one(*row) for row in zip(html.to_pylist(), url.to_pylist(), options.to_pylist(), strict=True)], kind)
+
+    return extract_request
+
+
 @F.arrow_udf(MESSAGES)
 def messages_of(html: pa.Array, url: pa.Array) -> pa.Array:
     """(html, url) to the messages of a thread or chat."""
@@ -103,6 +121,12 @@ def extract(pages: DataFrame, options: Options = Options(), html: str = "html",
     return pages.select(*keep, url, record_udf(options)(F.col(html), F.col(url)).alias("r")).select(*keep, url, "r.*")
 
 
+def extract_requests(requests: DataFrame, defaults: Options = Options(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """A record for each request of parse_requests(), by its own options; the fields are null where error says why it isn't taken."""
+    taken = F.when(F.col("error").isNull(), F.col("html"))
+    return requests.select(*keep, "url", "error", request_udf(defaults)(taken, F.col("url"), F.col("options")).alias("r")).select(*keep, "url", "error", "r.*")
+
+
 def messages(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """A row for each message of threads and chats: the columns to keep, pos, author, timestamp, html, depth."""
     return pages.select(*keep, F.posexplode(messages_of(F.col(html), F.col(url))).alias("pos", "m")).select(*keep, "pos", "m.*")

@@ -162,12 +162,16 @@ def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON bodies, some of them unusable, extracted; what is wrong with the others."""
+    """JSON bodies, some of them unusable, extracted by their own options; what is wrong with the others."""
     k = F.col("c_custkey")
+    options = F.when(k % 2 == 0, F.lit('{"markdown":true}')).otherwise(F.lit('{"separate_markdown":true,"markdown":null}'))
     body = F.when(k % 5 == 0, F.lit("{not json")).when(k % 5 == 1, F.lit('{"url":"https://a.example"}')).when(k % 5 == 2, F.lit('{"html":""}'))
-    body = body.otherwise(_markup('{"html":"<title>{n}</title><p>x</p>","url":"https://a.example/{k}","options":{"markdown":true}}', n=F.col("c_name"), k=k))
+    body = body.when(k % 5 == 3, _markup('{"html":"<head><title>{n}</title></head><body><p>x <b>{k}</b></p></body>","url":"https://a.example/{k}","options":{o}}', n=F.col("c_name"), k=k, o=options))
+    body = body.otherwise(_markup('{"html":"<title>{n}</title><p>x</p>"}', n=F.col("c_name")))
     rows = parse_requests(read_table(spark, sf_dir, "customer").select("c_custkey", body.alias("value")), keep=("c_custkey",))
-    return P.extract(rows, keep=("c_custkey", "error")).select("c_custkey", "error", F.when(F.col("error").isNull(), F.col("title")).alias("title"))
+    found = P.extract_requests(rows, keep=("c_custkey",))
+    in_place = F.when(~F.startswith("content", F.lit("<")), F.col("content"))
+    return found.select("c_custkey", "error", "title", "domain", in_place.alias("markdown"), F.col("content_markdown").alias("separate"))
 
 
 def bbcode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +228,8 @@ SELECT p_partkey, concat_ws({_NL} || {_NL}, 'Text[^' || p_partkey || ']', '> [!t
     "placeholders": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN c_name ELSE c_mktsegment END AS value FROM customer",
     "request_bodies": """
 SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'html is missing or no string' WHEN 1 THEN 'html is missing or no string' WHEN 2 THEN 'html is empty' END AS error,
-  CASE WHEN c_custkey % 5 >= 3 THEN c_name END AS title FROM customer""",
+  CASE WHEN c_custkey % 5 >= 3 THEN c_name END AS title, CASE c_custkey % 5 WHEN 3 THEN 'a.example' WHEN 4 THEN '' END AS domain,
+  CASE WHEN c_custkey % 10 = 8 THEN 'x **' || c_custkey || '**' END AS markdown, CASE WHEN c_custkey % 10 = 3 THEN 'x **' || c_custkey || '**' END AS separate FROM customer""",
     "bbcode": """
 SELECT p_partkey, '<h1>' || p_partkey || '</h1><strong>bold</strong> <a href="https://e.example/' || p_partkey || '">go</a> no<br><ul><li>' || p_size || '</li><li>b</li></ul><blockquote>q</blockquote>' AS html FROM part""",
     "conversation_html": """

@@ -13,8 +13,11 @@ from pagequern.streaming import pages as S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagequern-stream-")
+    """A new folder under spark.checkpoint.dir. Where that is unset, a temporary one on a local master, as in tests, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
+    base = base or tempfile.mkdtemp(prefix="pagequern-stream-")
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 
