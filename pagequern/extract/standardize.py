@@ -155,24 +155,34 @@ def language_of(n: Node) -> str:
 def code_text(n: Node) -> str:
     """The lines of a code block without gutters, buttons and labels."""
     out: list[str] = []
+    ended = False  # a line element has just ended: the line break after it in the source is the same one
 
     def visit(e: Node) -> None:
+        nonlocal ended
         if e.tag == "#text":
-            out.append(e.data)
+            said = e.data[1:] if ended and e.data.startswith("\n") else e.data
+            ended = ended and not e.data
+            if said:
+                out.append(said)
             return
         names = {c.lower() for c in e.classes}
         if e.tag in ("button", "style", "script") or NOT_SELECTED.search(e.attrs.get("style", "")) and re.fullmatch(r"\s*\d+\s*", e.text) or names & GUTTER or names & CODE_CHROME or "data-line-number" in e.attrs and not e.text.strip():
             return
         if e.tag == "br":
-            out.append("\n")
+            if not ended:
+                out.append("\n")
+            ended = False
             return
         line = e is not n and (bool(names & {"line", "code-line", "cl", "view-line", "cm-line", "ec-line", "token-line"}) or "data-line" in e.attrs or e.tag in ("div", "tr", "li", "p"))
         if line and out and not out[-1].endswith("\n"):
             out.append("\n")
+        ended, begin = False if line else ended, len(out)
         for c in e.children:
             visit(c)
-        if line and out and not out[-1].endswith("\n"):
-            out.append("\n")
+        if line:
+            if len(out) == begin or not out[-1].endswith("\n"):
+                out.append("\n")
+            ended = True
 
     visit(n)
     lines = [line.rstrip() for line in "".join(out).replace("\xa0", " ").replace("\t", "    ").split("\n")]

@@ -6,7 +6,7 @@ so that the expected value follows from the row alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequern.extract.options import Options
@@ -149,6 +149,97 @@ def hidden_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("c_custkey", F.contains("content", F.lit("secret")).alias("shown"), "word_count")
 
 
+# Shapes in which pages write the same thing: each is written for a fifth or so of the suppliers and has to come out alike.
+NOTE_FORMS = (
+    '<p>Text {k}<sup>1</sup> and<sup>2</sup></p><p class="footnote"><sup>1</sup>First {k}</p><p>middle</p><p class="footnote"><sup>2</sup>Second</p>',
+    '<p>Text {k}<sup><a href="#_ftn1">[1]</a></sup> and<sup><a href="#_ftn2">[2]</a></sup></p><p>middle</p><hr><p id="_ftn1">First {k}</p><p id="_ftn2">Second</p>',
+    '<p>Text {k}<span class="inline-footnote">1<span class="footnoteContent" style="display:none">First {k}</span></span> and<span class="inline-footnote">2<span class="footnoteContent">Second</span></span></p><p>middle</p>',
+    '<p>Text {k}<a href="#ref1">[1]</a> and<a href="#ref2">[2]</a></p><p>middle</p><div class="references"><h3>References</h3><div class="reference"><a id="ref1">1.</a><div>First {k}</div></div><div class="reference"><a id="ref2">2.</a><div>Second</div></div></div>',
+    '<p>Text {k}<sup>1</sup> and<sup>2</sup></p><p>middle</p><p><strong>1</strong> First {k}</p><p><strong>2</strong> Second</p>',
+    '<p>Text {k}<sup id="fnref:1"><a href="#fn:1">1</a></sup> and<sup id="fnref:2"><a href="#fn:2">2</a></sup></p><p>middle</p><section class="footnotes"><ol><li id="fn:1"><p>First {k} <a href="#fnref:1">↩</a></p></li><li id="fn:2">Second</li></ol></section>',
+    '<p>Text {k}<span data-definition="n1"><a href="#">*</a></span> and<span data-definition="n2"><a href="#">*</a></span></p><p>middle</p><aside id="n1" style="display:none">First {k}</aside><aside id="n2" style="display:none">Second</aside>',
+)
+CODE_FORMS = (
+    '<div class="highlight"><pre><span class="lineno">1</span><code class="language-python">x = {k}\nif x:\n    y = x</code></pre></div>',
+    '<table class="lntable"><tr><td class="lntd"><pre><code>1\n2\n3\n</code></pre></td><td class="lntd"><pre><code class="language-python" data-lang="python">x = {k}\nif x:\n    y = x\n</code></pre></td></tr></table>',
+    '<figure class="highlight python"><table><tr><td class="gutter"><pre><span class="line">1</span><br><span class="line">2</span></pre></td><td class="code"><pre><span class="line">x = {k}</span><br><span class="line">if x:</span><br><span class="line">    y = x</span></pre></td></tr></table></figure>',
+    '<pre class="chroma"><code class="language-python"><span class="line"><span style="user-select:none">1</span><span>x = {k}\n</span></span><span class="line"><span style="user-select:none">2</span><span>if x:\n</span></span><span class="line"><span style="user-select:none">3</span><span>    y = x\n</span></span></code></pre>',
+    '<pre data-language="python"><code data-language="python"><span data-line="">x = {k}</span>\n<span data-line="">if x:</span>\n<span data-line="">    y = x</span></code></pre>',
+    '<pre class="language-python"><div class="cm-editor"><div class="cm-gutters"><div>1</div></div><div class="cm-content"><div class="cm-line">x = {k}</div><div class="cm-line">if x:</div><div class="cm-line">    y = x</div></div></div></pre>',
+)
+MATH_FORMS = (
+    '<p>so <span class="math-inline" data-math="x_{{k}}"><span class="katex"><span class="katex-html">x</span></span></span> holds</p>',
+    '<p>so <span class="katex"><span class="katex-mathml"><math><semantics><mi>x</mi><annotation encoding="application/x-tex">x_{{k}}</annotation></semantics></math></span><span class="katex-html">x</span></span> holds</p>',
+    "<p>so $x_{{k}}$ holds</p>",
+    '<p>so <img src="https://latex.codecogs.com/png?latex=x_{{k}}"> holds</p>',
+    '<p>so <math alttext="x_{{k}}"><mi>x</mi></math> holds</p>',
+)
+
+
+def _forms(spark: SparkSession, sf_dir: str, forms: tuple[str, ...]) -> DataFrame:
+    """The Markdown of a page for each supplier, in one of the forms by its key."""
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("s_suppkey") % len(forms) + 1).cast("int"))
+    html = _markup("<body><article><p>{long}</p>{form}<p>{long}end</p></article></body>", form=form, k=F.col("s_suppkey"), long=F.repeat(F.lit("word "), F.lit(120)))
+    rows = read_table(spark, sf_dir, "supplier").select("s_suppkey", html.alias("html"), F.lit(None).cast("string").alias("url"))
+    found = P.extract(rows, Options(separate_markdown=True), keep=("s_suppkey",))
+    return found.select("s_suppkey", F.replace("content_markdown", F.repeat(F.lit("word "), F.lit(119))).alias("markdown"))
+
+
+def note_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir, NOTE_FORMS)
+
+
+def code_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir, CODE_FORMS)
+
+
+def math_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _forms(spark, sf_dir, MATH_FORMS)
+
+
+def nodes_within_nav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements within navigation, by an interval join of ancestors."""
+    found = P.nodes(read_table(spark, sf_dir, "pages")).select("page_id", "pre", "post", "tag")
+    nav = found.where("tag = 'nav'").select("page_id", F.col("pre").alias("nav_pre"), F.col("post").alias("nav_post"))
+    inside = found.join(nav, "page_id").where("nav_pre < pre AND nav_post > post AND tag IN ('a', 'li')")
+    return inside.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+
+
+def _menu_and_title(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(page_id, word) of menu links, which are one word each, and of titles, without repeats."""
+    found = P.nodes(read_table(spark, sf_dir, "pages")).select("page_id", "pre", "post", "tag", F.lower("text").alias("text"))
+    nav = found.where("tag = 'nav'").select("page_id", F.col("pre").alias("nav_pre"), F.col("post").alias("nav_post"))
+    menu = found.where("tag = 'a'").join(nav, "page_id").where("nav_pre < pre AND nav_post > post").select("page_id", F.col("text").alias("word"))
+    title = found.where("tag = 'title'").select("page_id", F.explode(F.split("text", " ")).alias("word"))
+    return menu.distinct(), title.distinct()
+
+
+def menu_words_not_in_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    menu, title = _menu_and_title(spark, sf_dir)
+    return menu.join(title, ["page_id", "word"], "left_anti")
+
+
+def menu_words_in_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    menu, title = _menu_and_title(spark, sf_dir)
+    return menu.intersect(title)
+
+
+def scheme_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by scheme and by whether their body ends, with all totals."""
+    rows = sources.read_table(spark, sf_dir, "pages")
+    rows = rows.select(F.regexp_extract("url", "^([a-z]+):", 1).alias("scheme"), F.contains(F.coalesce("html", F.lit("")), F.lit("</body>")).alias("ended"))
+    return rows.cube("scheme", "ended").agg(F.count("*").alias("n_pages"))
+
+
+def nav_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of a menu with the text of the one before and after."""
+    links = P.nodes(read_table(spark, sf_dir, "pages")).select("page_id", "pre", "post", "tag", "text")
+    nav = links.where("tag = 'nav'").select("page_id", F.col("pre").alias("nav_pre"), F.col("post").alias("nav_post"))
+    links = links.where("tag = 'a'").join(nav, "page_id").where("nav_pre < pre AND nav_post > post")
+    order = Window.partitionBy("page_id").orderBy("pre")
+    return links.select("page_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), F.md5("text").alias("text_md5"), F.md5(F.lag("text").over(order)).alias("before_md5"), F.md5(F.lead("text").over(order)).alias("after_md5"))
+
+
 def embedded_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = _markup('<p>a</p><iframe width="5" src="https://www.youtube.com/embed/v{k}?rel=0"></iframe>', k=F.col("p_partkey"))
     return read_table(spark, sf_dir, "part").select("p_partkey", H.embed_links(html).alias("html"))
@@ -200,10 +291,30 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     extract_full, page_text, dom_nodes, dom_tag_counts, link_density, head_fields, schema_fields, title_without_site, mini_app, clutter_removed,
+    note_forms, code_forms, math_forms, nodes_within_nav, menu_words_not_in_title, menu_words_in_title, scheme_cube, nav_neighbours,
     md_article, md_list, md_table, md_code, md_notes, text_fixed, hidden_parts, embedded_videos, placeholders, request_bodies, bbcode, conversation_html, chat_messages,
 )}
 _NL = "chr(10)"
+_PARA = f"{_NL} || {_NL}"
+_NAV = r"regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a [^>]*>(.*?)</a>', 1)"
+_MENU = f"SELECT page_id, lower(unnest({_NAV})) AS t FROM pages"
+_TITLE = "SELECT page_id, unnest(string_split(lower(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&amp;', '&')), ' ')) AS t FROM pages"
 ORACLE_SQL = {
+    "note_forms": f"""
+SELECT s_suppkey, 'word' || {_PARA} || 'Text ' || s_suppkey || '[^1] and[^2]' || {_PARA} || 'middle' || {_PARA} || 'word end' || {_PARA} || '[^1]: First ' || s_suppkey || {_PARA} || '[^2]: Second' AS markdown FROM supplier""",
+    "code_forms": f"""
+SELECT s_suppkey, 'word' || {_PARA} || '```python' || {_NL} || 'x = ' || s_suppkey || {_NL} || 'if x:' || {_NL} || '    y = x' || {_NL} || '```' || {_PARA} || 'word end' AS markdown FROM supplier""",
+    "math_forms": f"SELECT s_suppkey, 'word' || {_PARA} || 'so $x_{{' || s_suppkey || '}}$ holds' || {_PARA} || 'word end' AS markdown FROM supplier",
+    "nodes_within_nav": """
+SELECT page_id, tag, count(*) AS n FROM (
+  SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<(a|li)[ >]', 1)) AS tag FROM pages) GROUP BY ALL""",
+    "menu_words_not_in_title": f"SELECT DISTINCT page_id, t AS word FROM ({_MENU}) ANTI JOIN ({_TITLE}) USING (page_id, t)",
+    "menu_words_in_title": f"SELECT page_id, t AS word FROM ({_MENU}) INTERSECT SELECT page_id, t FROM ({_TITLE})",
+    "scheme_cube": """
+SELECT regexp_extract(url, '^([a-z]+):', 1) AS scheme, contains(coalesce(html, ''), '</body>') AS ended, count(*) AS n_pages FROM pages GROUP BY CUBE (1, 2)""",
+    "nav_neighbours": f"""
+SELECT page_id, i AS pos, md5(l[i + 1]) AS text_md5, md5(l[i]) AS before_md5, md5(l[i + 2]) AS after_md5 FROM (
+  SELECT page_id, l, unnest(range(len(l))) AS i FROM (SELECT page_id, {_NAV} AS l FROM pages))""",
     "dom_tag_counts": """
 SELECT page_id, tag, count(*) AS n FROM (
   SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '<(a|li|nav|article|footer|h1|div|script|style|title)[ >]', 1)) AS tag FROM pages) GROUP BY ALL""",
