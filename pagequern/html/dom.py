@@ -27,6 +27,7 @@ ENDS_P = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "tbody": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "thead": {"tbody", "thead", "tfoot", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
+HOLDS_NO_TEXT = frozenset("ul ol menu dl table tbody thead tfoot tr select".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Open elements at most.
 DEEPEST = 512
@@ -244,11 +245,14 @@ def parse(html: str) -> Node:
                 reopen()
         elif in_head:
             return
-        last = stack[-1].children[-1:]
+        to = stack[-1]
+        if len(stack) >= DEEPEST:  # its own cell or item may not have been opened
+            to = next(n for n in reversed(stack) if n.tag not in HOLDS_NO_TEXT)
+        last = to.children[-1:]
         if last and last[0].tag == "#text":
             last[0].data += data
         else:
-            stack[-1].append(text_node(data))
+            to.append(text_node(data))
 
     pos = 0
     while (m := _TOKEN.search(html, pos)) is not None:
