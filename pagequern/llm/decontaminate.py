@@ -214,6 +214,8 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: float
     alike. One block of items filters the rows as they are read. With more, hashes of the texts that
     hold an item are found block by block, and rows with such a text go.
     """
+    if text_col not in docs.columns:
+        return docs
     blocks = item_blocks(benchmark, "item_id", "text", k, broadcast_words)
     first, second = next(blocks), next(blocks, None)
     names = docs.columns

@@ -116,8 +116,10 @@ def learn(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS, lear
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
-    """docs with a column of scores from 0 to 1; a null or empty text has no features and scores by the bias."""
+    """docs with a column of scores from 0 to 1; a null or empty text, or none, has no features and scores by the bias."""
     names = docs.columns
+    if text_col not in names:
+        return with_score(docs.withColumn(text_col, F.lit(None).cast("string")), model, text_col, name).drop(text_col)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -333,8 +333,10 @@ def held_out(doc_id) -> F.Column:
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "__score") -> DataFrame:
-    """docs with a column of scores from 0 to 1. Null and empty texts have no window and score as such."""
+    """docs with a column of scores from 0 to 1. Null and empty texts, and rows of a table without them, have no window and score as such."""
     names = docs.columns
+    if text_col not in names:
+        return with_score(docs.withColumn(text_col, F.lit(None).cast("string")), model, text_col, name).drop(text_col)
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

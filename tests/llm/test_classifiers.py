@@ -73,6 +73,42 @@ def test_quality_held_out(tables):
     assert accuracy > 0.98
 
 
+def test_quality_scores_equal_a_scalar_version():
+    """Hashes, means and the logistic function in plain Python, for fixed weights."""
+    r = np.random.default_rng(2)
+    model = quality.Model(r.normal(0, 3, quality.BUCKETS).astype(np.float32).tobytes(), 0.4)
+    gains, mask = np.frombuffer(model.gains, np.float32), (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def hashed(b):
+        return mix((sum((c + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(b)) + len(b)) & mask)
+
+    def slow(text):
+        plain = re.sub(rb"[\x20\x09-\x0D]", b" ", text.encode()).translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123))))
+        words = [hashed(w) for w in plain.split(b" ") if w]
+        found = [*words, *(mix((b - a + 1) & mask) for a, b in zip(words, words[1:], strict=False))]
+        found += [hashed(plain[i : i + n]) for n in quality.GRAMS for i in range(len(plain) - n + 1)]
+        z = sum(float(gains[h & quality.BUCKETS - 1]) for h in found) / max(len(found), 1) + model.bias
+        return 1 / (1 + np.exp(-min(max(z, -30), 30)))
+
+    texts = ["Some Words, some\twords", "", "é", "a", "ab cd", "x " * 50, "Überall\n\nnichts  Neues"]
+    for _, _, data, offsets in quality.text_chunks(pa.array(texts)):
+        assert np.allclose(quality.scores(data, offsets, gains, model.bias), [slow(t) for t in texts])
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_a_table_without_texts(spark, module):
+    model = module.fit_texts(pa.array(["a", "b"]), np.array([0, 0]))
+    got = module.with_score(spark.range(3), model)
+    assert got.columns == ["id", "__score"] and len({r["__score"] for r in got.collect()}) == 1
+
+
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_odd_rows(spark, docs_of, module, label):
     rows = [(1, None, "s"), (2, "", "s"), (None, "x y", "s"), (3, "wörd " * 3000, "s"), (3, "wörd " * 3000, "s"), (4, " \n", "s")]
