@@ -46,7 +46,7 @@ GROUP, CROWD = 16, 1 << 12
 #: One set in so many is looked at for keys that more than CROWD sets have, and that are in more than a share of the sampled keys.
 SAMPLE, HOT_SHARE = 64, 1e-5
 #: Lower ends of size bands grow by this factor.
-_GROWTH = 1.3
+_GROWTH = 1.6
 #: Bits of all bitmaps of a tile together, about.
 _MAP_BITS = 1 << 29
 #: A set counts as so many shingles at least, which bounds the sets of a block.
@@ -74,7 +74,7 @@ class Bands:
         return (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
     def spare(self, band: int) -> int:
-        return 3 + ceil(0.15 * self.differ(band))
+        return 3 + ceil(0.3 * self.differ(band))
 
     def edges(self, band: int) -> np.ndarray:
         """Lower ends of the ranges of hash space."""
@@ -372,8 +372,11 @@ def cluster(
     keyed = keyed.join(classes.where("copies > 1").select(F.col("class").alias("c"), "v"), F.col("class") == F.col("c"), "left")
     keyed = keyed.where("v IS NULL OR v = row").select(F.explode("keys").alias("key"), "row")
     hot = _hot_keys(with_keys)
-    crowded = [] if hot.isEmpty() else [materialize(keyed.join(F.broadcast(hot), "key", "left_semi"))]
-    keyed = keyed.join(F.broadcast(hot), "key", "left_anti") if crowded else keyed
+    crowded = []
+    if not hot.isEmpty():
+        marked = keyed.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+        crowded.append(materialize(marked.where("hot").drop("hot")))
+        keyed = marked.where("hot IS NULL").drop("hot")
     group = Window.partitionBy("key")
     shared = materialize(keyed.withColumn("many", F.count("*").over(group)).where("many > 1"))
     maps = materialize(with_keys.where("length(map) > 0").select("row", "n", "map"))

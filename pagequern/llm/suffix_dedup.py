@@ -47,7 +47,7 @@ BROADCAST_PLACES, BROADCAST_SPANS = 1 << 17, 1 << 20
 #: Spans of distances from a window's start to its anchor, by their ends, into which hot anchors are split.
 SPANS = (1, 2, 3, 5, 8, 12, 18, 28, 45, 256)
 #: One text in so many is looked at for hot anchors: at least so many of them, and more than a share of all, have the same hash.
-SAMPLE, HOT_LEAST, HOT_SHARE = 64, 8, 1e-5
+SAMPLE, HOT_LEAST, HOT_SHARE = 64, 8, 1e-4
 _LAST = (1 << 63) - 1
 
 
@@ -311,13 +311,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return rows.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("row", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
 
     found, hot = exploded(once), _hot_hashes(exploded(once.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)))
-    any_hot = not hot.isEmpty()
-    rest = found.join(F.broadcast(hot), "hash", "left_anti") if any_hot else found
+    marked = found.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "hash", "left")
     same = Window.partitionBy("hash").orderBy("row", "place")
-    shared = rest.select("row", "hash", "place", F.lag("row").over(same).alias("one"), F.lead("row").over(same).alias("other"))
+    shared = marked.where("hot IS NULL").select("row", "hash", "place", F.lag("row").over(same).alias("one"), F.lead("row").over(same).alias("other"))
     shared = shared.where("one IS NOT NULL OR other IS NOT NULL").select("row", "hash", "place", F.lit(False).alias("hot"))
-    if any_hot:
-        shared = shared.unionByName(found.join(F.broadcast(hot), "hash", "left_semi").withColumn("hot", F.lit(True)))
+    if not hot.isEmpty():
+        shared = shared.unionByName(marked.where("hot").select("row", "hash", "place", "hot"))
     flagged = shared.groupBy("row").agg(F.collect_list(F.struct("hash", "place", "hot")).alias("flagged"))
     named = classes.where("v IS NOT NULL").select(F.col("v").alias("row"), "id", "text_key", F.col("best.doc").alias("doc"))
     flagged = materialize(flagged.join(named, "row"))

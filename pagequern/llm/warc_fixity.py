@@ -8,6 +8,8 @@ looked at, level by level, so a sound shard costs one comparison and a damaged r
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,24 +47,24 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return rows.select("page_id", shard.alias("shard"), spot.alias("spot"), "record")
 
 
-def write_warc(found: DataFrame, path: str) -> None:
-    """Writes records() as one WARC file for each shard, in folders shard=N, in the order of locate()."""
+def write_warc(found: DataFrame, path: str, compression: str = "none") -> None:
+    """Writes records() as one WARC file for each shard, in folders shard=N, in the order of locate(); compression is none or gzip."""
     lines = found.repartition("shard").sortWithinPartitions("shard", "spot", F.sha2(F.concat("record", F.lit(_END)), 256))
-    lines.select("shard", "record").write.partitionBy("shard").option("lineSep", _END).text(path)
+    lines.select("shard", "record").write.partitionBy("shard").option("lineSep", _END).option("compression", compression).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(shard, start, end, url, body, sha256) of each record of the files that write_warc() wrote.
 
+    Files may be gzip, of one member or one for each record; offsets are those of the text in them.
     A record whose length doesn't lead to a next record ends where the next one begins, and sound
     records after it are read as usual.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows = [(shard, a, b, *parse(data[a:b]), hashlib.sha256(data[a:b]).hexdigest()) for a, b in bounds(data)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()))], names=["shard", "start", "end", "url", "body", "sha256"])
 

@@ -168,10 +168,11 @@ def pages_of(spark, n=60):
     return spark.createDataFrame([(*r, "c") for r in rows], "page_id bigint, url string, html string, record string")
 
 
-def test_archive_round_trip_and_audit(spark, tmp_path):
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_archive_round_trip_and_audit(spark, tmp_path, compression):
     pages = pages_of(spark)
     found = wf.records(pages, shard_bytes=3000)
-    wf.write_warc(found, str(tmp_path / "a"))
+    wf.write_warc(found, str(tmp_path / "a"), compression)
     back = wf.read_warc(spark, str(tmp_path / "a"))
     drill = {(r.shard, r.start): r for r in wf.drill(pages, shard_bytes=3000, fanout=3).collect()}
     assert {(r.shard, r.start, r.end, r.sha256) for r in back.collect()} == {(r.shard, r.start, r.end, r.sha256) for r in drill.values()}
