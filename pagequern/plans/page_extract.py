@@ -58,9 +58,9 @@ def dom_tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each page's navigation, the share of text bytes in links."""
-    nav = P.nodes(read_table(spark, sf_dir, "pages")).where("tag = 'nav'")
-    return nav.select("page_id", "text_bytes", "link_bytes", (F.col("link_bytes") / F.col("text_bytes")).alias("density"))
+    """Of each page's body, the share of text bytes in links."""
+    body = P.nodes(read_table(spark, sf_dir, "pages")).where("tag = 'body'")
+    return body.select("page_id", "text_bytes", "link_bytes", (F.col("link_bytes") / F.col("text_bytes")).alias("density"))
 
 
 def head_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +297,8 @@ QUERIES = {f.__name__: f for f in (
 _NL = "chr(10)"
 _PARA = f"{_NL} || {_NL}"
 _NAV = r"regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a [^>]*>(.*?)</a>', 1)"
+# DuckDB text of markup: the pages have four kinds of character references, one of them cut short at times
+_UNMARKED = "regexp_replace(replace(replace(replace(regexp_replace(%s, '(?s)<!--.*?-->|<[^>]*>', '', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
 _MENU = f"SELECT page_id, lower(unnest({_NAV})) AS t FROM pages"
 _TITLE = "SELECT page_id, unnest(string_split(lower(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&amp;', '&')), ' ')) AS t FROM pages"
 ORACLE_SQL = {
@@ -318,9 +320,17 @@ SELECT page_id, i AS pos, md5(l[i + 1]) AS text_md5, md5(l[i]) AS before_md5, md
     "dom_tag_counts": """
 SELECT page_id, tag, count(*) AS n FROM (
   SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '<(a|li|nav|article|footer|h1|div|script|style|title)[ >]', 1)) AS tag FROM pages) GROUP BY ALL""",
-    "link_density": """
-SELECT page_id, strlen(t)::BIGINT AS text_bytes, strlen(t)::BIGINT AS link_bytes, 1.0::DOUBLE AS density FROM (
-  SELECT page_id, replace(replace(replace(regexp_replace(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') AS t FROM pages)""",
+    "page_text": r"""
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(t, ' *' || chr(10) || ' *', chr(10), 'g'), chr(10) || '{3,}', chr(10) || chr(10), 'g'), ' +', ' ', 'g'), ' ' || chr(10)) AS text FROM (
+  SELECT page_id, regexp_replace(replace(replace(replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS t FROM (
+    SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      regexp_extract(html, '(?s)<body>(.*)', 1), '(?s)<!--.*?-->|</p>', '', 'g'), '\s+', ' ', 'g'), '<li>', chr(10) || '• ', 'g'), '<h1>|<p>|</article>', chr(10) || chr(10), 'g'),
+      '<div[^>]*>|</div>|<article>|</h1>|<br>', chr(10), 'g') AS b FROM pages))""",
+    "link_density": f"""
+SELECT page_id, text_bytes, link_bytes, link_bytes / text_bytes AS density FROM (
+  SELECT page_id, strlen({_UNMARKED % "body"})::BIGINT AS text_bytes, strlen({_UNMARKED % "links"})::BIGINT AS link_bytes FROM (
+    SELECT page_id, body, array_to_string(regexp_extract_all(body, '(?s)<a [^>]*>(.*?)</a>', 1), '') AS links FROM (
+      SELECT page_id, regexp_extract(html, '(?s)<body>(.*)', 1) AS body FROM pages)))""",
     "head_fields": """
 SELECT c_custkey, c_name AS title, c_name AS author, 'about ' || c_name AS description, c_mktsegment AS site, c_custkey::VARCHAR AS published, '/i/' || c_custkey || '.png' AS image, '/f' || c_custkey || '.ico' AS favicon, 'news.example' AS domain FROM customer""",
     "schema_fields": "SELECT c_custkey, c_name AS title, c_name || ', ' || c_mktsegment AS author, c_custkey::VARCHAR AS published, c_mktsegment AS site, '/' || c_custkey || '.jpg' AS image FROM customer",
