@@ -126,10 +126,33 @@ reach AS (SELECT row AS a, row AS b FROM docs UNION SELECT reach.a, links.b FROM
 SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, (SELECT min(o.doc_id) FROM reach JOIN sets o ON o.row = reach.b WHERE reach.a = sets.row) AS component_id
 FROM sets"""
 
+SUFFIX_DEDUP = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM (
+    SELECT doc_id, base + j AS i, md5(substr(part, 2 * j + 1, 200)) AS k FROM (
+      SELECT doc_id, base, part, unnest(range(least(512, n - 99 - base))) AS j FROM (
+        SELECT doc_id, n, base, substr(h, 2 * base + 1, 1222) AS part FROM (
+          SELECT doc_id, n, h, unnest(range(0, n - 99, 512)) AS base FROM d WHERE n >= 100))))),
+spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (
+      SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS fresh FROM windows WHERE again))
+  GROUP BY doc_id, span),
+pieces AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h, count(*) - 1 AS n_spans FROM pieces JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, d.n::BIGINT AS n_bytes, (d.n - length(kept.h) // 2)::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(kept.h)) AS kept_sha256
+FROM d JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op9_jaccard_join": JACCARD_JOIN,
     "op2_secret_scan": SECRET_SCAN,
     "op3_warc_fixity": WARC_FIXITY,
+    "op4_suffix_dedup": SUFFIX_DEDUP,
     "op5_source_mix": SOURCE_MIX,
     "op8_exact_dedup": EXACT_DEDUP,
 }
