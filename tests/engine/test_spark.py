@@ -117,3 +117,26 @@ def test_event_counts_of_many_unordered_files(spark, tmp_path):
         pq.write_table(pa.table(table), tmp_path / "events.parquet" / f"part-{n:03}.parquet")
     got = {(r.hour, r.event_type): r.n_events for r in stream_event_counts(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_small_tables_are_dealt_over_all_cores(spark, tmp_path):
+    spark.range(400).selectExpr("id AS page_id", "repeat('x', 2000) AS html").coalesce(1).write.parquet(f"{tmp_path}/one")
+    dealt = P.spread(spark.read.parquet(f"{tmp_path}/one"))
+    counts = dealt.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(counts) >= spark.sparkContext.defaultParallelism and max(r["count"] for r in counts) < 200
+    spark.range(400).repartition(16).write.parquet(f"{tmp_path}/many")
+    assert "Exchange" not in plan_of(P.spread(spark.read.parquet(f"{tmp_path}/many")))
+
+
+def test_requests_by_their_own_options(spark):
+    bodies = [('{"html":"<body><p>x","options":{"markdown":true}}',), ('{"html":"<body><p>x","options":{"separate_markdown":true,"debug":null}}',), ('{"html":"<body><p>x"}',), ('{"html":5.5}',), ("",), (None,)]
+    got = P.extract_requests(files.parse_requests(spark.createDataFrame(bodies, "value string"))).collect()
+    page = "<html><head></head><body><p>x</p></body></html>"
+    assert [(r.content, r.content_markdown) for r in got[:3]] == [("x", None), (page, "x"), (page, None)]
+    assert all(r.content is None and r.error for r in got[4:])
+
+
+def test_trees_of_deep_pages(spark):
+    df = spark.createDataFrame([(1, "<div>" * 5000 + "x"), (2, None)], "page_id bigint, html string")
+    found = P.nodes(df).where("page_id = 1").agg(F.count("*"), F.max("depth"), F.max("text_bytes")).first()
+    assert found[0] == 5003 and found[1] < 600 and found[2] == 1
