@@ -278,11 +278,11 @@ def _with_texts(rows: DataFrame, about: DataFrame, few: bool, columns: list[str]
     return rows.join(about, rows["id"].eqNullSafe(about["__id"]) & (rows["text_key"] == about["__key"])).select("text", *columns)
 
 
-def _hot_hashes(some: DataFrame) -> DataFrame:
-    """Hashes of the sampled anchors that very many texts seem to have: they are in several of the sample, so they are shared for sure."""
+def _hot_hashes(some: DataFrame) -> list[int]:
+    """Hashes of the sampled anchors that very many texts seem to have, 1 / HOT_SHARE at most: they are in several of the sample, so they are shared for sure."""
     counts = materialize(some.groupBy("hash").agg(F.count("*").alias("many")).where(F.col("many") >= HOT_LEAST))
     total = some.count() if not counts.isEmpty() else 0
-    return counts.where(F.col("many") > F.lit(HOT_SHARE * total)).select("hash")
+    return sorted(r.hash for r in counts.where(F.col("many") > F.lit(HOT_SHARE * total)).collect())
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -311,12 +311,12 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         return rows.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("row", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
 
     found, hot = exploded(once), _hot_hashes(exploded(once.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)))
-    marked = found.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "hash", "left")
+    is_hot = F.col("hash").isin(hot)
     same = Window.partitionBy("hash").orderBy("row", "place")
-    shared = marked.where("hot IS NULL").select("row", "hash", "place", F.lag("row").over(same).alias("one"), F.lead("row").over(same).alias("other"))
+    rest = found.where(~is_hot) if hot else found
+    shared = rest.select("row", "hash", "place", F.lag("row").over(same).alias("one"), F.lead("row").over(same).alias("other"))
     shared = shared.where("one IS NOT NULL OR other IS NOT NULL").select("row", "hash", "place", F.lit(False).alias("hot"))
-    if not hot.isEmpty():
-        shared = shared.unionByName(marked.where("hot").select("row", "hash", "place", "hot"))
+    shared = shared.unionByName(found.where(is_hot).withColumn("hot", F.lit(True))) if hot else shared
     flagged = shared.groupBy("row").agg(F.collect_list(F.struct("hash", "place", "hot")).alias("flagged"))
     named = classes.where("v IS NOT NULL").select(F.col("v").alias("row"), "id", "text_key", F.col("best.doc").alias("doc"))
     flagged = materialize(flagged.join(named, "row"))
