@@ -317,15 +317,26 @@ def fit_texts(texts: pa.Array, toxic: np.ndarray) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS, learn_chars: int = LEARN_CHARS) -> Model:
     """A model from labelled rows whose crc32(doc_id as text) mod 3 is not 1; null labels and texts are left out.
 
-    The sample is bounded: learn_rows labels, the first by hash of the id, so that reruns agree.
+    The sample is bounded: learn_rows labels, the first by hash of the id, so that reruns agree. One
+    task learns from it, and only the model comes to the driver.
     """
     known = only(labels, "doc_id", "toxic").where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(learn_rows)
     texts = only(docs, "doc_id", "text").where(F.length("text") <= learn_chars)
-    rows = texts.join(F.broadcast(sample), "doc_id").toArrow()
-    order = np.lexsort([rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy()])
-    mixed = order[np.random.default_rng(7).permutation(len(order))]
-    return fit_texts(rows.column("text").combine_chunks().take(pa.array(mixed)), rows.column("toxic").to_numpy()[mixed].astype(np.int64))
+    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("toxic").cast("long").alias("toxic"), "text").repartition(1)
+    found = rows.mapInArrow(_trained_model, "ordinary binary, toxic binary, weights array<double>").first()
+    return Model(bytes(found.ordinary), bytes(found.toxic), tuple(found.weights)) if found else fit_texts(pa.array([], pa.string()), np.zeros(0, np.int64))
+
+
+def _trained_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sample (doc_id, toxic, text) to one row with the model of it; the order of the sample doesn't count."""
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        rows = pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in ("toxic", "doc_id", "text")])
+        mixed = np.random.default_rng(7).permutation(rows.num_rows)
+        model = fit_texts(rows.column("text").combine_chunks().take(pa.array(mixed)), rows.column("toxic").to_numpy()[mixed])
+        kinds = (pa.binary(), pa.binary(), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((model.ordinary, model.toxic, list(model.weights)), kinds, strict=True)], names=["ordinary", "toxic", "weights"])
 
 
 def held_out(doc_id) -> F.Column:
