@@ -45,8 +45,10 @@ BROADCAST_ROWS = 1 << 20
 GROUP, CROWD = 16, 1 << 12
 #: One set in so many is looked at for keys that more than CROWD sets have, and that are in more than a share of the sampled keys.
 SAMPLE, HOT_SHARE = 64, 1e-5
+#: Keys have 48 bits, the upper ones: enough to keep chance apart, as candidates are tested, and the rest compresses to nothing.
+_KEY_BITS = np.uint64((1 << 64) - (1 << 16))
 #: Lower ends of size bands grow by this factor.
-_GROWTH = 1.6
+_GROWTH = 1.3
 #: Bits of all bitmaps of a tile together, about.
 _MAP_BITS = 1 << 29
 #: A set counts as so many shingles at least, which bounds the sets of a block.
@@ -74,7 +76,7 @@ class Bands:
         return (small + small * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
 
     def spare(self, band: int) -> int:
-        return 3 + ceil(0.3 * self.differ(band))
+        return 3 + ceil(0.15 * self.differ(band))
 
     def edges(self, band: int) -> np.ndarray:
         """Lower ends of the ranges of hash space."""
@@ -97,7 +99,7 @@ class Bands:
         if len(at) - len(full) > self.spare(band):
             prefix = found[: len(found) - -(-len(found) * self.percent // 100) + 1]
             keys = np.concatenate([keys, mix64(prefix ^ mix64(np.full(1, (band << 1) + 1, np.uint64)))])
-        return keys
+        return keys & _KEY_BITS
 
 
 def _class_key(found: np.ndarray) -> bytes:
