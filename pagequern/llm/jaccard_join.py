@@ -41,6 +41,8 @@ from pagequern.llm._text import mix64, shingle_sets, text_chunks
 BLOCK_SHINGLES = 1 << 21
 #: A list of candidates of up to so many rows (24 bytes each) is broadcast to pick their texts; a longer one is joined by shuffle.
 BROADCAST_ROWS = 1 << 20
+#: Classes of several rows, 24 bytes each, that are broadcast to find the row that stands for them; more are joined by shuffling the sets with their keys.
+COPIED = 1 << 18
 #: Sets with a common key that are paired as rows; more are compared where they meet, up to CROWD.
 GROUP, CROWD = 16, 1 << 12
 #: One set in so many is looked at for keys that more than CROWD sets have, and that are in more than a share of the sampled keys.
@@ -371,7 +373,7 @@ def cluster(
     )
     classes = materialize(classes.withColumn("v", F.coalesce("with_keys", "any_row")).drop("with_keys", "any_row"))
     keyed = with_keys.where(F.size("keys") > 0)
-    keyed = keyed.join(classes.where("copies > 1").select(F.col("class").alias("c"), "v"), F.col("class") == F.col("c"), "left")
+    keyed = keyed.join(small(classes.where("copies > 1").select(F.col("class").alias("c"), "v"), COPIED), F.col("class") == F.col("c"), "left")
     keyed = keyed.where("v IS NULL OR v = row").select(F.explode("keys").alias("key"), "row")
     hot = _hot_keys(with_keys)
     crowded = []
