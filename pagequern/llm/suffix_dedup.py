@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequern.llm._graph import lookup
-from pagequern.llm._shared import discard, materialize, only
+from pagequern.llm._shared import discard, materialize, only, small
 from pagequern.llm._suffix_runs import Run, common_prefix, merge, pack, unpack
 from pagequern.llm._text import byte_sums, range_hash, text_chunks
 
@@ -48,6 +48,8 @@ BROADCAST_PLACES, BROADCAST_SPANS = 1 << 17, 1 << 20
 SPANS = (1, 2, 3, 5, 8, 12, 18, 28, 45, 256)
 #: One text in so many is looked at for hot anchors: at least so many of them, and more than a share of all, have the same hash.
 SAMPLE, HOT_LEAST, HOT_SHARE = 64, 8, 1e-4
+#: Texts that occur several times, 100 bytes each, that are broadcast to find the row that stands for them; more are joined by shuffling the anchors.
+COPIED = 1 << 18
 _LAST = (1 << 63) - 1
 
 
@@ -305,7 +307,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
         F.min(F.struct(doc.alias("doc"), "row")).alias("best"), F.first("text_key").alias("text_key"), F.first("n_bytes").alias("n_bytes"),
     )
     classes = materialize(classes.select("sha", "copies", "best", "text_key", "n_bytes", F.col("keyed.row").alias("v"), F.col("keyed.id").alias("id")))
-    again = classes.where("copies > 1 AND v IS NOT NULL").select(F.col("sha").alias("c"), "v")
+    again = small(classes.where("copies > 1 AND v IS NOT NULL").select(F.col("sha").alias("c"), "v"), COPIED)
     once = anchored.where(F.size("places") > 0).join(again, F.col("sha") == F.col("c"), "left").where("v IS NULL OR v = row")
     def exploded(rows: DataFrame) -> DataFrame:
         return rows.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")).select("row", F.col("a.hashes").alias("hash"), F.col("a.places").alias("place"))
